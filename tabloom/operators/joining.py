@@ -52,7 +52,7 @@ def attach_stats(
         table = stats if written else materialize(stats, "stats")
         return table, fits_broadcast(table, max_broadcast_bytes)
 
-    prepared = together([partial(prepare, stats) for stats, _ in tables])
+    prepared = together(df.sparkSession, [partial(prepare, stats) for stats, _ in tables])
     for (_, keys), (table, small) in zip(tables, prepared, strict=True):
         if small:
             df = df.join(F.broadcast(table), list(keys), "left")

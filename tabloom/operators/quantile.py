@@ -64,10 +64,12 @@ def grouped_quantile(
     kept = df.where(present(df, column)).select(*keys, F.col(f"`{column}`").alias(VALUE))
     if n_rows is None:
         n_rows = kept.count()
-    if n_rows <= rows_per_slice:
+    kind = df.schema[column].dataType
+    # Spark's percentile_disc returns doubles, which do not hold every long.
+    if n_rows <= rows_per_slice and not isinstance(kind, (T.LongType, T.DecimalType)):
         picked = F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {VALUE})")
         grouped = kept.groupBy(*keys) if keys else kept.groupBy()
-        result = grouped.agg(picked.alias(out))
+        result = grouped.agg(picked.cast(kind).alias(out))
         return result if keys else result.where(F.col(out).isNotNull())
     return _sliced_quantile(kept, keys, out, fraction, n_rows, rows_per_slice)
 

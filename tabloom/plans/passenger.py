@@ -106,10 +106,11 @@ def passenger_stats(rows: DataFrame, exact: bool = True) -> PassengerStats:
             tables.append((medians, keys))
     error = 0.0 if exact else 0.001
     age, fare = together(
+        rows.sparkSession,
         [
             partial(global_median, rows, "Age", AGE_DEFAULT, n_rows, relative_error=error),
             partial(global_median, rows, "Fare", FARE_DEFAULT, n_rows, relative_error=error),
-        ]
+        ],
     )
     return PassengerStats(tables, age, fare)
 

@@ -52,12 +52,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def together(tasks: Sequence[Callable[[], Result]], at_once: int = 8) -> list[Result]:
+def together(spark: SparkSession, tasks: Sequence[Callable[[], Result]], at_once: int = 8) -> list[Result]:
     """Run independent Spark jobs side by side and return their results in order."""
     if not tasks:
         return []
     with ThreadPool(min(len(tasks), at_once)) as pool:
-        return pool.map(lambda task: inheritable_thread_target(task)(), tasks, chunksize=1)
+        return pool.map(lambda task: task(), [inheritable_thread_target(spark)(t) for t in tasks], chunksize=1)
 
 
 def table_bytes(df: DataFrame) -> int:
