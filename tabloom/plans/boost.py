@@ -1,8 +1,9 @@
 """Second-order boosted trees (Chen & Guestrin 2016) as Spark aggregations.
 
 Features are cut into bins once. Each tree level is one job: gradient sums per
-(node, feature, bin), combined on the map side, and the best split per node.
-Only those splits, at most one per node, reach the driver.
+(node, feature, bin), combined on the map side, and the best split per node and
+feature. Only those splits reach the driver: their number is that of the model,
+not of the data.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numeric import at_threshold
@@ -29,72 +30,74 @@ MISSING_BIN = -1
 HASH_RANGE = 1 << 53
 
 
-def histogram(rows: DataFrame, features: Sequence[int], keys: Sequence[str] = ("node",)) -> DataFrame:
+def histogram(rows: DataFrame, features: Sequence[int]) -> DataFrame:
     """Sums of ``g`` and ``h`` per node, feature and bin.
 
-    ``rows`` has the keys, ``g``, ``h`` and the array ``bins``.
+    ``rows`` has ``node``, ``g``, ``h`` and the array ``bins``.
     """
-    numbers = F.array(*[F.lit(f) for f in features])
-    chosen = F.array(*[F.col("bins")[f] for f in features])
+    numbers = ", ".join(map(str, features))
+    chosen = ", ".join(f"bins[{f}]" for f in features)
     return (
-        rows.select(*keys, "g", "h", F.posexplode(chosen).alias("place", "bin"))
-        .groupBy(*keys, numbers[F.col("place")].alias("feature"), "bin")
+        rows.selectExpr("node", "g", "h", f"posexplode(array({chosen})) AS (place, bin)")
+        .selectExpr("node", f"array({numbers})[place] AS feature", "bin", "g", "h")
+        .groupBy("node", "feature", "bin")
         .agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     )
 
 
-def best_splits(sums: DataFrame, reg_lambda: float = 1.0, min_child_weight: float = 1.0) -> DataFrame:
-    """The split of highest gain per node: rows whose bin is at most ``bin`` go left.
+SPLIT_SQL = """
+WITH running AS (
+  SELECT node, feature, bin,
+    sum(g) OVER whole AS g_all,
+    sum(h) OVER whole AS h_all,
+    sum(if(bin < 0, g, 0D)) OVER whole AS g_lost,
+    sum(if(bin < 0, h, 0D)) OVER whole AS h_lost,
+    sum(if(bin < 0, 0D, g)) OVER upto AS g_known,
+    sum(if(bin < 0, 0D, h)) OVER upto AS h_known
+  FROM {sums}
+  WINDOW whole AS (PARTITION BY node, feature), upto AS (PARTITION BY node, feature ORDER BY bin)
+),
+sided AS (
+  SELECT node, feature, bin, missing_left, g_left, h_left, g_all - g_left AS g_right, h_all - h_left AS h_right, g_all, h_all
+  FROM running
+  LATERAL VIEW stack(2, false, g_known, h_known, true, g_known + g_lost, h_known + h_lost) AS missing_left, g_left, h_left
+  WHERE bin >= 0
+),
+gained AS (
+  SELECT *,
+    0.5D * (g_left * g_left / (h_left + :reg) + g_right * g_right / (h_right + :reg) - g_all * g_all / (h_all + :reg)) AS gain
+  FROM sided
+  WHERE h_left >= :least AND h_right >= :least AND h_left > 0 AND h_right > 0
+),
+best AS (
+  SELECT node, feature, max_by(
+    struct(bin, missing_left, gain, g_left, h_left, g_right, h_right), struct(gain, -bin, NOT missing_left)
+  ) AS s
+  FROM gained
+  WHERE gain > 0
+  GROUP BY node, feature
+)
+SELECT node, feature, s.* FROM best
+"""
+
 
-    Rows with a missing value go to the side that gains more. Ties go to the
-    lower feature and then to the lower bin. A node without a split that gains
-    anything is absent.
+def feature_splits(sums: DataFrame, reg_lambda: float = 1.0, min_child_weight: float = 1.0) -> DataFrame:
+    """The split of highest gain per node and feature: rows up to ``bin`` go left.
+
+    Rows with a missing value go to the side that gains more; a tie goes to
+    the lower bin. A feature without a split that gains anything is absent.
+    Every window is over the bins of one node and feature.
     """
-    group = Window.partitionBy("node", "feature")
-    upto = group.orderBy("bin")
-    known = F.col("bin") > MISSING_BIN
-
-    def score(g: Column, h: Column) -> Column:
-        return g * g / (h + F.lit(reg_lambda))
-
-    summed = sums
-    for c in ("g", "h"):
-        summed = summed.withColumns(
-            {
-                f"{c}_all": F.sum(c).over(group),
-                f"{c}_lost": F.sum(F.when(known, 0.0).otherwise(F.col(c))).over(group),
-                f"{c}_known": F.sum(F.when(known, F.col(c)).otherwise(0.0)).over(upto),
-            }
-        )
-    sides = F.array(
-        F.struct(F.lit(False).alias("missing_left"), F.col("g_known").alias("g_left"), F.col("h_known").alias("h_left")),
-        F.struct(
-            F.lit(True).alias("missing_left"),
-            (F.col("g_known") + F.col("g_lost")).alias("g_left"),
-            (F.col("h_known") + F.col("h_lost")).alias("h_left"),
-        ),
-    )
-    options = (
-        summed.where(known)
-        .select("node", "feature", "bin", "g_all", "h_all", F.explode(sides).alias("s"))
-        .select("node", "feature", "bin", "g_all", "h_all", "s.*")
-        .withColumns({"g_right": F.col("g_all") - F.col("g_left"), "h_right": F.col("h_all") - F.col("h_left")})
-        .where((F.col("h_left") >= min_child_weight) & (F.col("h_right") >= min_child_weight))
-        .where((F.col("h_left") > 0.0) & (F.col("h_right") > 0.0))
-        .withColumn(
-            "gain",
-            (
-                score(F.col("g_left"), F.col("h_left"))
-                + score(F.col("g_right"), F.col("h_right"))
-                - score(F.col("g_all"), F.col("h_all"))
-            )
-            * 0.5,
-        )
-        .where(F.col("gain") > 0.0)
-    )
-    details = F.struct("feature", "bin", "missing_left", "gain", "g_left", "h_left", "g_right", "h_right")
-    rank = F.struct(F.col("gain"), -F.col("feature"), -F.col("bin"), ~F.col("missing_left"))
-    return options.groupBy("node").agg(F.max_by(details, rank).alias("s")).select("node", "s.*")
+    arguments = {"reg": float(reg_lambda), "least": float(min_child_weight)}
+    return sums.sparkSession.sql(SPLIT_SQL, args=arguments, sums=sums)
+
+
+def best_splits(sums: DataFrame, reg_lambda: float = 1.0, min_child_weight: float = 1.0) -> DataFrame:
+    """The split of highest gain per node; a tie goes to the lower feature."""
+    splits = feature_splits(sums, reg_lambda, min_child_weight)
+    details = F.struct(*[F.col(c) for c in splits.columns if c != "node"])
+    rank = F.struct(F.col("gain"), -F.col("feature"))
+    return splits.groupBy("node").agg(F.max_by(details, rank).alias("s")).select("node", "s.*")
 
 
 def leaf_weight(g: float, h: float, reg_lambda: float) -> float:
@@ -267,10 +270,12 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
             place = render(tree, _by_bin, lambda t: str(t["open"]) if "open" in t else "CAST(NULL AS INT)")
             active = rows.withColumn("node", F.expr(place)).where(F.col("node").isNotNull())
             sums = histogram(active, features)
-            found = {
-                r["node"]: r
-                for r in best_splits(sums, reg, self.getOrDefault("minChildWeight")).collect()
-            }
+            # At most one row per open node and feature, however many rows are fitted.
+            found = {}
+            for split in feature_splits(sums, reg, self.getOrDefault("minChildWeight")).collect():
+                held = found.get(split["node"])
+                if held is None or (split["gain"], -split["feature"]) > (held["gain"], -held["feature"]):
+                    found[split["node"]] = split
             opened = {}
             for node, leaf in open_leaves.items():
                 leaf.pop("open")
