@@ -40,12 +40,10 @@ def order_by_id(df: DataFrame, id_col: str) -> DataFrame:
     return df.orderBy(F.col(id_col).asc())
 
 
-def order_by_disagreement(df: DataFrame, flag: str, id_col: str, probability: str | None = None) -> DataFrame:
+def disagreement_order(flag: str, id_col: str, probability: str | None = None) -> list[Column]:
     """Disagreements first; then, if given, the most certain probability; then the id."""
-    order = [F.col(flag).desc()]
-    if probability is not None:
-        order.append(F.abs(F.col(probability) - F.lit(0.5)).desc())
-    return df.orderBy(*order, F.col(id_col).asc())
+    certain = [] if probability is None else [F.abs(F.col(probability) - F.lit(0.5)).desc()]
+    return [F.col(flag).desc(), *certain, F.col(id_col).asc()]
 
 
 def best_candidate(
