@@ -217,9 +217,11 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
         values = vector_to_array(F.col(self.getFeaturesCol()))
         id_col = self.getOrDefault("idCol")
         key = F.xxhash64(F.col(id_col)) if id_col else F.xxhash64(values)
-        flat = dataset.select(
-            F.col(self.getLabelCol()).cast("double").alias("y"), key.alias("key"), values.alias("x")
-        ).where(F.col("y").isNotNull())
+        labelled = dataset.where(F.col(self.getLabelCol()).isNotNull())
+        flat = materialize(
+            labelled.select(F.col(self.getLabelCol()).cast("double").alias("y"), key.alias("key"), values.alias("x")),
+            "boost-values",
+        )
         first = flat.first()
         if first is None:
             raise ValueError("no labelled row to fit on")

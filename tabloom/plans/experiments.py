@@ -91,6 +91,17 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 # Cross validation and selection
 
 
+def folded_table(train: DataFrame, folds: int, id_col: str = ID) -> DataFrame:
+    """A written table with a fold column; each fold is a partition of its own files.
+
+    A frame that has the fold column already is taken as it is, so one written
+    table can serve many experiments.
+    """
+    if FOLD in train.columns:
+        return train
+    return materialize(with_folds(train, id_col, folds), "folds", [FOLD])
+
+
 def cv_scores(
     train: DataFrame,
     candidates: Sequence[Candidate],
@@ -100,29 +111,25 @@ def cv_scores(
     at_once: int = FITS_AT_ONCE,
 ) -> DataFrame:
     """Accuracy and AUC per candidate and fold: (grid_pos, candidate, fold, accuracy, auc)."""
-    spark = train.sparkSession
-    folded = with_folds(train, id_col, folds).persist()
-    try:
-
-        def predict(position: int, candidate: Candidate, fold: int) -> DataFrame:
-            training, validation = fold_split(folded, fold)
-            scored = with_probability(candidate.stages.fit(training).transform(validation), "probability_one")
-            return materialize(
-                scored.select(
-                    F.lit(position).alias("grid_pos"),
-                    F.lit(candidate.name).alias("candidate"),
-                    F.lit(fold).alias("fold"),
-                    F.col(label),
-                    "prediction",
-                    "probability_one",
-                ),
-                "fold-predictions",
-            )
-
-        tasks = [partial(predict, i, c, fold) for i, c in enumerate(candidates) for fold in range(folds)]
-        predictions = union_all(together(spark, tasks, at_once))
-    finally:
-        folded.unpersist()
+    folded = folded_table(train, folds, id_col)
+
+    def predict(position: int, candidate: Candidate, fold: int) -> DataFrame:
+        training, validation = fold_split(folded, fold)
+        scored = with_probability(candidate.stages.fit(training).transform(validation), "probability_one")
+        return materialize(
+            scored.select(
+                F.lit(position).alias("grid_pos"),
+                F.lit(candidate.name).alias("candidate"),
+                F.lit(fold).alias("fold"),
+                F.col(label),
+                "prediction",
+                "probability_one",
+            ),
+            "fold-predictions",
+        )
+
+    tasks = [partial(predict, i, c, fold) for i, c in enumerate(candidates) for fold in range(folds)]
+    predictions = union_all(together(train.sparkSession, tasks, at_once))
     return classification_scores(predictions, label, ["grid_pos", "candidate", "fold"])
 
 
@@ -147,9 +154,10 @@ def select_and_fit(
     train: DataFrame, test: DataFrame, candidates: Sequence[Candidate], folds: int = 5, at_once: int = FITS_AT_ONCE
 ) -> Selected:
     """Score all candidates, refit the best one on all rows, predict the test rows."""
+    train = folded_table(train, folds)
     scores = materialize(cv_summary(cv_scores(train, candidates, folds, at_once=at_once)), "scores")
     best = best_candidate(scores).first()
-    model = candidates[best["grid_pos"]].stages.fit(train)
+    model = candidates[best["grid_pos"]].stages.fit(train.drop(FOLD))
     return Selected(best["candidate"], best["accuracy"], best["auc"], scores, model, model.transform(test))
 
 
@@ -192,18 +200,15 @@ def soft_vote_cv(
     at_once: int = FITS_AT_ONCE,
 ) -> tuple[DataFrame, dict[str, PipelineModel], DataFrame]:
     """Fold scores of the vote, the members fitted on all rows, and the test predictions."""
-    folded = with_folds(train, id_col, folds).persist()
-    try:
-        parts = []
-        for fold in range(folds):
-            training, validation = fold_split(folded, fold)
-            voted = soft_vote_predict(fit_members(members, training, at_once), validation, id_col, label)
-            parts.append(
-                materialize(voted.select(F.lit(fold).alias("fold"), label, "prediction", "probability_one"), "votes")
-            )
-    finally:
-        folded.unpersist()
-    models = fit_members(members, train, at_once)
+    folded = folded_table(train, folds, id_col)
+    parts = []
+    for fold in range(folds):
+        training, validation = fold_split(folded, fold)
+        voted = soft_vote_predict(fit_members(members, training, at_once), validation, id_col, label)
+        parts.append(
+            materialize(voted.select(F.lit(fold).alias("fold"), label, "prediction", "probability_one"), "votes")
+        )
+    models = fit_members(members, folded.drop(FOLD), at_once)
     return classification_scores(union_all(parts), label, ["fold"]), models, soft_vote_predict(models, test, id_col, label)
 
 
@@ -218,18 +223,15 @@ def variant_cv(
     at_once: int = FITS_AT_ONCE,
 ) -> DataFrame:
     """Mean scores per variant. One fit per fold; evidence comes from its training rows only."""
-    folded = with_folds(train, ID, folds).persist()
-    try:
-
-        def predict(fold: int) -> DataFrame:
-            training, validation = fold_split(folded, fold)
-            scored = with_probability(stages.fit(training).transform(validation))
-            judged = variant_rows(attach_evidence(scored, training, LABEL), [LABEL], variants)
-            return materialize(judged.withColumn("fold", F.lit(fold)), "variant-predictions")
-
-        judged = union_all(together(train.sparkSession, [partial(predict, f) for f in range(folds)], at_once))
-    finally:
-        folded.unpersist()
+    folded = folded_table(train, folds)
+
+    def predict(fold: int) -> DataFrame:
+        training, validation = fold_split(folded, fold)
+        scored = with_probability(stages.fit(training).transform(validation))
+        judged = variant_rows(attach_evidence(scored, training, LABEL), [LABEL], variants)
+        return materialize(judged.withColumn("fold", F.lit(fold)), "variant-predictions")
+
+    judged = union_all(together(train.sparkSession, [partial(predict, f) for f in range(folds)], at_once))
     scores = classification_scores(judged, LABEL, ["grid_pos", "variant", "fold"])
     return fold_mean(scores, ["grid_pos", "variant"], ["accuracy", "auc"])
 
@@ -290,7 +292,9 @@ def postprocess(
     ``others`` are the models whose disagreement is shown. Files are written if
     ``out_dir`` is given; the model if ``model_path`` is.
     """
+    train = folded_table(train, folds)
     metrics = materialize(variant_cv(train, base.stages, folds, variants), "variant-scores")
+    train = train.drop(FOLD)
     best = best_candidate(metrics).first()["variant"]
     model = base.stages.fit(train)
     scored = attach_evidence(with_probability(model.transform(test)), train, LABEL)
@@ -383,7 +387,9 @@ def run_experiments(
     out_dir: str | None = None,
     model_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Run experiments on one written feature frame: the score table and the best output.
+    """Run experiments on written tables: the score table and the best output.
+
+    The raw rows and the feature set are written once, with folds as partitions.
 
     An experiment of the booster that fails is skipped; any other failure is raised.
     """
@@ -391,12 +397,14 @@ def run_experiments(
         raise ValueError("at least 2 folds are needed")
     spark = raw_train.sparkSession
     grids = default_grids() if grids is None else grids
-    enhanced = tuple(materialize(side, "features") for side in passenger.passenger_features(raw_train, raw_test))
+    train, test = passenger.passenger_features(raw_train, raw_test)
+    enhanced = folded_table(train, folds), materialize(test, "features")
+    raw = (folded_table(raw_train, folds), raw_test) if BASELINE in names else (raw_train, raw_test)
     rows: list[tuple] = []
     outputs: dict[str, DataFrame] = {}
     for name in names:
         try:
-            row, outputs[name] = run_experiment(name, (raw_train, raw_test), enhanced, grids, folds, out_dir, model_dir)
+            row, outputs[name] = run_experiment(name, raw, enhanced, grids, folds, out_dir, model_dir)
         except Exception as problem:  # noqa: BLE001 - see above
             if name not in (BOOST, VOTE):
                 raise

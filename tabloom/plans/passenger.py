@@ -15,7 +15,7 @@ from tabloom.operators.groups import first_known, group_size
 from tabloom.operators.joining import attach_stats
 from tabloom.operators.quantile import global_median, grouped_median
 from tabloom.operators.schema import TRAIN_FLAG, drop_temp, split_labeled, to_double, union_labeled
-from tabloom.runtime import together
+from tabloom.runtime import materialize, together
 
 # Column names, buckets, fill values and imputation levels.
 ID = "PassengerId"
@@ -53,6 +53,9 @@ NUMERIC = (
 )
 # End of fixed values.
 
+# What the statistics read of each row.
+STAT_COLUMNS = ("Surname", "Ticket", "Sex", "Pclass", "TitleGroup", "EmbarkedFilledBase", "Age", "Fare")
+
 
 def row_features(df: DataFrame) -> DataFrame:
     """Features that need one row only, in two projections."""
@@ -93,8 +96,10 @@ class PassengerStats:
 def passenger_stats(rows: DataFrame, exact: bool = True) -> PassengerStats:
     """Group sizes and medians, from a frame with row features.
 
-    ``exact=False`` takes medians from Spark's sketches.
+    The few columns that are read are written once, since each statistic scans
+    them. ``exact=False`` takes medians from Spark's sketches.
     """
+    rows = materialize(rows.select(*STAT_COLUMNS), "stat-columns")
     n_rows = rows.count() if exact else None
     tables: list[tuple[DataFrame, Sequence[str]]] = [
         (group_size(rows, ["Surname"], "SurnameGroupSize"), ["Surname"]),

@@ -45,10 +45,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tabloom-{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table."""
+def materialize(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table.
+
+    Later filters on a ``partition_by`` column read the matching files only.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
