@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabloom.catalog.base import from_houses, from_passengers, given_score, register
 from tabloom.catalog.tables import CODES_SQL
 from tabloom.functions.numeric import prob_at_one, raw_vector
-from tabloom.operators.encode import Densifier, assembler, indexers, one_hot, scaler, string_index
+from tabloom.operators.encode import Densifier, assembler, indexer, one_hot, scaler, string_index
 from tabloom.operators.quantile import impute_median
 from tabloom.plans import views
 
@@ -35,7 +35,7 @@ def string_index_(spark, sf_dir):
 
 def _one_hot(spark, sf_dir, drop_last):
     rows = views.passengers(spark, sf_dir)
-    stages = [*indexers(["Embarked"], ["code"]), one_hot(["code"], ["hot"], drop_last)]
+    stages = [indexer(["Embarked"], ["code"]), one_hot(["code"], ["hot"], drop_last)]
     hot = Pipeline(stages=stages).fit(rows.where("Survived IS NOT NULL")).transform(rows)
     slots = vector_to_array(F.col("hot"))
     return hot.select(

@@ -5,6 +5,8 @@ Model sizes are kept small enough for a check run; the data are always whole.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -17,7 +19,7 @@ from tabloom.plans import experiments as ex
 from tabloom.plans import grids, house, passenger, views
 from tabloom.plans.boost import HistogramBooster, best_splits, histogram
 from tabloom.plans.stages import baseline_stages, boost_stages, house_stages, linear_stages, tree_stages
-from tabloom.runtime import materialize
+from tabloom.runtime import materialize, together
 from tabloom.sources.sinks import classification_output
 
 def small_grids():
@@ -39,7 +41,7 @@ COLUMNS = {"labelCol": passenger.LABEL, "featuresCol": "features"}
 
 def written_features(spark, sf_dir):
     train, test = features(spark, sf_dir)
-    return materialize(train, "features"), materialize(test, "features")
+    return together(spark, [partial(materialize, side, "features", spread=True) for side in (train, test)])
 
 
 def _predict(spark, sf_dir, stages):
@@ -104,7 +106,7 @@ def boost_class_grid(spark, sf_dir):
 def _price(spark, sf_dir, algorithm, **settings):
     """Fit on a holdout's training rows, predict its validation rows."""
     prepared = ex.prepare_houses(views.houses(spark, sf_dir))
-    train, validation = holdout(materialize(prepared.train, "houses"), 42, house.ID)
+    train, validation = holdout(materialize(prepared.train, "houses", spread=True), 42, house.ID)
     model = house_stages(prepared.roles, algorithm, **settings).fit(train)
     return model.transform(validation).select("Id", house.LABEL, "prediction")
 

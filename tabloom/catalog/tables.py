@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabloom.catalog.base import auc_sql, from_houses, from_passengers, fold_sql, given_score, register, scored, scores_sql
 from tabloom.functions.numeric import at_threshold
 from tabloom.operators import schema
-from tabloom.operators.encode import indexers
+from tabloom.operators.encode import indexer
 from tabloom.operators.folds import fold_split, with_folds
 from tabloom.operators.metrics import accuracy, roc_auc
 from tabloom.plans import house, views
@@ -124,7 +124,7 @@ i AS (SELECT v, CAST(row_number() OVER (ORDER BY n DESC, v) - 1 AS DOUBLE) AS co
 )
 def model_store(spark, sf_dir):
     rows = views.passengers(spark, sf_dir)
-    fitted = Pipeline(stages=indexers(["Embarked"], ["EmbarkedIndexed"])).fit(rows)
+    fitted = Pipeline(stages=[indexer(["Embarked"], ["EmbarkedIndexed"])]).fit(rows)
     again = load_model(save_model(fitted, scratch_path(spark, "model")))
     return again.transform(rows).select("PassengerId", "EmbarkedIndexed")
 

@@ -40,14 +40,8 @@ def extract_surname(name: Column) -> Column:
 
 def group_values(value: Column, groups: Mapping[str, str], other: str) -> Column:
     """Map values to group names; all other values, null too, get ``other``."""
-    by_group: dict[str, list[str]] = {}
-    for raw, group in groups.items():
-        by_group.setdefault(group, []).append(raw)
-    mapped = None
-    for group, raws in by_group.items():
-        hit = value.isin(*raws)
-        mapped = F.when(hit, F.lit(group)) if mapped is None else mapped.when(hit, F.lit(group))
-    return F.lit(other) if mapped is None else mapped.otherwise(F.lit(other))
+    lookup = F.create_map(*[F.lit(part) for pair in groups.items() for part in pair])
+    return F.coalesce(lookup[value], F.lit(other))
 
 
 def fill_const(value: Column, constant: str) -> Column:

@@ -57,11 +57,9 @@ def string_index(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     return df
 
 
-def indexers(columns: Sequence[str], outputs: Sequence[str]) -> list[StringIndexer]:
-    return [
-        StringIndexer(inputCol=c, outputCol=out, handleInvalid="keep")
-        for c, out in zip(columns, outputs, strict=True)
-    ]
+def indexer(columns: Sequence[str], outputs: Sequence[str]) -> StringIndexer:
+    """Codes for all columns, counted in one pass; null and unseen get the next free code."""
+    return StringIndexer(inputCols=list(columns), outputCols=list(outputs), handleInvalid="keep")
 
 
 def one_hot(columns: Sequence[str], outputs: Sequence[str], drop_last: bool = True) -> OneHotEncoder:

@@ -221,6 +221,7 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
         flat = materialize(
             labelled.select(F.col(self.getLabelCol()).cast("double").alias("y"), key.alias("key"), values.alias("x")),
             "boost-values",
+            spread=True,
         )
         first = flat.first()
         if first is None:

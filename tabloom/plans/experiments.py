@@ -99,7 +99,7 @@ def folded_table(train: DataFrame, folds: int, id_col: str = ID) -> DataFrame:
     """
     if FOLD in train.columns:
         return train
-    return materialize(with_folds(train, id_col, folds), "folds", [FOLD])
+    return materialize(with_folds(train, id_col, folds), "folds", [FOLD], spread=True)
 
 
 def cv_scores(
@@ -398,8 +398,15 @@ def run_experiments(
     spark = raw_train.sparkSession
     grids = default_grids() if grids is None else grids
     train, test = passenger.passenger_features(raw_train, raw_test)
-    enhanced = folded_table(train, folds), materialize(test, "features")
-    raw = (folded_table(raw_train, folds), raw_test) if BASELINE in names else (raw_train, raw_test)
+    train, test, raw_train = together(
+        spark,
+        [
+            partial(folded_table, train, folds),
+            partial(materialize, test, "features"),
+            partial(folded_table, raw_train, folds),
+        ],
+    )
+    raw, enhanced = (raw_train, raw_test), (train, test)
     rows: list[tuple] = []
     outputs: dict[str, DataFrame] = {}
     for name in names:

@@ -10,7 +10,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
 from tabloom.functions.text import TITLE_PATTERN
-from tabloom.operators.encode import Densifier, assembler, indexers, median_imputer, one_hot, scaler
+from tabloom.operators.encode import Densifier, assembler, indexer, median_imputer, one_hot, scaler
 from tabloom.operators.schema import Roles, text_name
 from tabloom.plans import house, passenger
 from tabloom.plans.boost import HistogramBooster
@@ -74,15 +74,15 @@ def sql_stage(columns: Mapping[str, str]) -> SQLTransformer:
 
 def tree_stages(model: Estimator) -> Pipeline:
     """Category codes and numeric columns in one vector, for a tree model."""
-    coded = indexers(passenger.CATEGORICAL, INDEXED)
-    return Pipeline(stages=[*coded, assembler([*INDEXED, *passenger.NUMERIC]), model])
+    coded = indexer(passenger.CATEGORICAL, INDEXED)
+    return Pipeline(stages=[coded, assembler([*INDEXED, *passenger.NUMERIC]), model])
 
 
 def linear_stages(model: Estimator) -> Pipeline:
     """One-hot categories and centred, scaled numeric columns, for a linear model."""
     return Pipeline(
         stages=[
-            *indexers(passenger.CATEGORICAL, INDEXED),
+            indexer(passenger.CATEGORICAL, INDEXED),
             one_hot(INDEXED, ONE_HOT),
             assembler(passenger.NUMERIC, "numericFeatures"),
             scaler("numericFeatures", "scaledNumericFeatures", centered=True),
@@ -107,7 +107,7 @@ def baseline_stages(seed: int = 42, trees: int = BASELINE_TREES, depth: int = BA
             sql_stage(BASE_FEATURES),
             median_imputer(list(BASELINE_IMPUTED), list(BASELINE_IMPUTED.values())),
             sql_stage(DERIVED_FEATURES),
-            *indexers(list(BASELINE_INDEXED), list(BASELINE_INDEXED.values())),
+            indexer(list(BASELINE_INDEXED), list(BASELINE_INDEXED.values())),
             assembler(BASELINE_FEATURES),
             forest,
         ]
@@ -127,7 +127,8 @@ def house_stages(roles: Roles, algorithm: str = "lr", label: str = house.LABEL,
     imputed = [f"{c}_imputed" for c in roles.numeric]
     coded = [f"{c}_indexed" for c in roles.categorical]
     shared = [median_imputer(roles.numeric, imputed)] if imputed else []
-    shared += indexers([text_name(c) for c in roles.categorical], coded)
+    if coded:
+        shared.append(indexer([text_name(c) for c in roles.categorical], coded))
     if algorithm == "lr":
         tail = _linear_tail(imputed, coded, label, s)
     else:

@@ -45,11 +45,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tabloom-{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
+def materialize(
+    df: DataFrame, label: str = "table", partition_by: Sequence[str] = (), spread: bool = False
+) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
     Later filters on a ``partition_by`` column read the matching files only.
+    ``spread`` is for tables that are scanned many times, as by a fit: one that
+    came out in fewer partitions than there are cores is dealt over all cores.
     """
+    table = _write(df, label, partition_by)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if spread and table.rdd.getNumPartitions() < cores:
+        return _write(table.repartition(cores), label, partition_by)
+    return table
+
+
+def _write(df: DataFrame, label: str, partition_by: Sequence[str]) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
