@@ -127,6 +127,8 @@ def _by_bin(tree: Tree) -> str:
 
 def _by_value(tree: Tree) -> str:
     at = f"__x[{tree['feature']}]"
+    if tree["cut"] is None:
+        return f"NOT isnan({at})"
     below = f"{at} < ({tree['cut']!r}D)"
     return f"({below} OR isnan({at}))" if tree["missing_left"] else below
 
@@ -289,7 +291,7 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
                 leaf.update(feature=split["feature"], bin=split["bin"], missing_left=split["missing_left"])
                 # The last bin has no upper cut: only missing values are to its right.
                 limits = cuts[split["feature"]]
-                leaf["cut"] = limits[split["bin"]] if split["bin"] < len(limits) else math.inf
+                leaf["cut"] = limits[split["bin"]] if split["bin"] < len(limits) else None
                 for side, child in (("left", 2 * node), ("right", 2 * node + 1)):
                     weight = eta * leaf_weight(split[f"g_{side}"], split[f"h_{side}"], reg)
                     leaf[side] = opened[child] = {"leaf": weight, "open": child}

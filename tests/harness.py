@@ -23,7 +23,7 @@ def session(app: str = "tabloom") -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
