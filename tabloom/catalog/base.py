@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.plans import passenger, views
+from tabloom.runtime import materialize, together
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,7 +115,13 @@ def row_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return passenger.passenger_features(*views.passenger_sides(spark, sf_dir))
+    return passenger.passenger_features(*views.passenger_sides(spark, sf_dir, dealt=True))
+
+
+def written_features(spark: SparkSession, sf_dir: str, spread: bool = True) -> list[DataFrame]:
+    """Both sides as written tables, for queries that scan them more than once."""
+    sides = features(spark, sf_dir)
+    return together(spark, [partial(materialize, side, "features", spread=spread) for side in sides])
 
 
 def given_score(multiplier: int, id_col: str = "PassengerId") -> Column:

@@ -5,21 +5,19 @@ Model sizes are kept small enough for a check run; the data are always whole.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tabloom.catalog.base import features, fold_sql, from_houses, from_passengers, register
+from tabloom.catalog.base import fold_sql, from_houses, from_passengers, register, written_features
 from tabloom.functions.numeric import prob_at_one
 from tabloom.operators.folds import holdout, with_folds
 from tabloom.plans import experiments as ex
 from tabloom.plans import grids, house, passenger, views
 from tabloom.plans.boost import HistogramBooster, best_splits, histogram
 from tabloom.plans.stages import baseline_stages, boost_stages, house_stages, linear_stages, tree_stages
-from tabloom.runtime import materialize, together
+from tabloom.runtime import materialize
 from tabloom.sources.sinks import classification_output
 
 def small_grids():
@@ -39,11 +37,6 @@ def small_grids():
 COLUMNS = {"labelCol": passenger.LABEL, "featuresCol": "features"}
 
 
-def written_features(spark, sf_dir):
-    train, test = features(spark, sf_dir)
-    return together(spark, [partial(materialize, side, "features", spread=True) for side in (train, test)])
-
-
 def _predict(spark, sf_dir, stages):
     """Fit on the labelled rows, predict the others."""
     train, test = written_features(spark, sf_dir)
@@ -68,7 +61,7 @@ def pipe_boost(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir, stages):
-    train, test = views.passenger_sides(spark, sf_dir)
+    train, test = views.passenger_sides(spark, sf_dir, dealt=True)
     scored = stages.fit(train).transform(test)
     return scored.select("PassengerId", "prediction", prob_at_one(F.col("probability")).alias("p"))
 
@@ -105,7 +98,7 @@ def boost_class_grid(spark, sf_dir):
 
 def _price(spark, sf_dir, algorithm, **settings):
     """Fit on a holdout's training rows, predict its validation rows."""
-    prepared = ex.prepare_houses(views.houses(spark, sf_dir))
+    prepared = ex.prepare_houses(views.houses(spark, sf_dir, dealt=True))
     train, validation = holdout(materialize(prepared.train, "houses", spread=True), 42, house.ID)
     model = house_stages(prepared.roles, algorithm, **settings).fit(train)
     return model.transform(validation).select("Id", house.LABEL, "prediction")
@@ -231,7 +224,7 @@ def random_holdout(spark, sf_dir):
 
 @register("multi_seed_validation")
 def multi_seed_validation(spark, sf_dir):
-    prepared = ex.prepare_houses(views.houses(spark, sf_dir))
+    prepared = ex.prepare_houses(views.houses(spark, sf_dir, dealt=True))
     return ex.validate_seeds(prepared, "lr", (42, 1337, 2026), iterations=30)
 
 
@@ -245,13 +238,13 @@ def soft_vote_cv(spark, sf_dir):
 
 @register("blend_validation")
 def blend_validation(spark, sf_dir):
-    prepared = ex.prepare_houses(views.houses(spark, sf_dir))
+    prepared = ex.prepare_houses(views.houses(spark, sf_dir, dealt=True))
     return ex.blend_summary(ex.blend_validate(prepared, (42, 1337), rounds=6, eta=0.3, depth=3, iterations=30))
 
 
 @register("experiment_table")
 def experiment_table(spark, sf_dir):
-    raw = views.passenger_sides(spark, sf_dir)
+    raw = views.passenger_sides(spark, sf_dir, dealt=True)
     table, _ = ex.run_experiments(*raw, names=(ex.BASELINE, ex.FOREST, ex.LINEAR), folds=2, grids=small_grids())
     return table.drop("model_path", "submission_path")
 

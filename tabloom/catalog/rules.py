@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.catalog.base import FEATURES, features, from_features, from_houses, from_passengers, given_score, register, scored, scores_sql
+from tabloom.catalog.base import (
+    FEATURES,
+    features,
+    from_features,
+    from_houses,
+    from_passengers,
+    given_score,
+    register,
+    scored,
+    scores_sql,
+    written_features,
+)
 from tabloom.catalog.groups import HOUSE_GUESSES, house_guesses
 from tabloom.functions.numeric import at_threshold
 from tabloom.operators import rules, votes
@@ -92,7 +103,7 @@ def rule_sides(spark, sf_dir):
             }
         )
 
-    train, test = features(spark, sf_dir)
+    train, test = written_features(spark, sf_dir, spread=False)
     return fine(train), fine(test)
 
 

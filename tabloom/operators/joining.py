@@ -80,8 +80,10 @@ def _attach_large(
         "__spread",
         F.when(F.col("__hot") | no_key, F.pmod(row_hash, F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long")),
     )
-    cold_side = stats.join(F.broadcast(hot_side.select(*keys)), keys, "left_anti").withColumn(
-        "__spread", F.lit(0).cast("long")
+    # Written, so that the optimizer does not take the spread out of the join keys as a constant.
+    cold_side = materialize(
+        stats.join(F.broadcast(hot_side.select(*keys)), keys, "left_anti").withColumn("__spread", F.lit(0).cast("long")),
+        "cold-stats",
     )
     joined = marked.join(cold_side, [*keys, "__spread"], "left")
     rest = [c for c in df.columns if c not in keys]

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.runtime import deal
+
 PASSENGERS_SQL = """
 SELECT o_orderkey AS PassengerId,
  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS Survived,
@@ -51,22 +53,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+def _view(spark: SparkSession, sf_dir: str, sql: str, dealt: bool = False) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return spark.sql(sql, orders=deal(orders) if dealt else orders, customer=table(spark, sf_dir, "customer"))
 
 
-def passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def passengers(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Rows with an unknown outcome are the test side."""
-    return _view(spark, sf_dir, PASSENGERS_SQL)
+    return _view(spark, sf_dir, PASSENGERS_SQL, dealt)
 
 
-def passenger_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = passengers(spark, sf_dir)
+def passenger_sides(spark: SparkSession, sf_dir: str, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Labelled and unlabelled rows; ``dealt`` uses all cores even if the source is one small file."""
+    rows = passengers(spark, sf_dir, dealt)
     return rows.where("Survived IS NOT NULL"), rows.where("Survived IS NULL").drop("Survived")
 
 
-def houses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, HOUSES_SQL)
+def houses(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return _view(spark, sf_dir, HOUSES_SQL, dealt)
 
 
 def score_sql(multiplier: int, id_col: str) -> str:

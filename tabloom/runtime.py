@@ -28,15 +28,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="tabloom-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -55,10 +55,14 @@ def materialize(
     came out in fewer partitions than there are cores is dealt over all cores.
     """
     table = _write(df, label, partition_by)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if spread and table.rdd.getNumPartitions() < cores:
-        return _write(table.repartition(cores), label, partition_by)
-    return table
+    dealt = deal(table) if spread else table
+    return table if dealt is table else _write(dealt, label, partition_by)
+
+
+def deal(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores dealt over all cores; a larger one unchanged."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def _write(df: DataFrame, label: str, partition_by: Sequence[str]) -> DataFrame:

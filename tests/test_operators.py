@@ -1,6 +1,7 @@
 """Group statistics, joins, orders, metrics and folds, also on skewed and sliced data."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -83,6 +84,19 @@ def test_attach_gives_the_same_rows_however_it_joins(spark, limit, hot_rows):
     assert sorted(map(tuple, got.select("i", "k", "n").collect())) == want
 
 
+def test_hot_and_null_keys_are_spread_in_the_shuffle(spark):
+    df = spark.createDataFrame(skewed(), "i int, k string, x double")
+    sizes = groups.group_size(df, ["k"], "n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = attach_by_key(df, sizes, ["k"], max_broadcast_bytes=40, hot_rows=700)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"Exchange hashpartitioning\(k#\d+, __spread#\d+", plan)
+        assert got.count() == 3000 and got.where("n IS NULL").count() == df.where("k IS NULL").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_attach_on_two_keys_keeps_unmatched_rows(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, None, 1), (4, "z", 9)], "i int, k string, j int")
     stats = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), (None, 1, 30.0)], "k string, j int, v double")
