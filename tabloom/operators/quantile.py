@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from tabloom.runtime import fits_broadcast, materialize
 
 ROWS_PER_SLICE = 1_000_000
+# Finer cuts would make the sketches themselves large; slices then hold more rows instead.
+MAX_SLICES = 10_000
 VALUE = "__value"
 SLICE = "__slice"
 
@@ -32,7 +34,7 @@ def with_value_slices(df: DataFrame, column: str, n_rows: int, rows_per_slice: i
     spread over the slices however skewed the keys are. Equal values always
     share a slice. Cuts are fixed numbers: a retried task gives the same slices.
     """
-    wanted = math.ceil(n_rows / rows_per_slice)
+    wanted = min(math.ceil(n_rows / rows_per_slice), MAX_SLICES)
     cuts: list[float] = []
     if wanted > 1:
         steps = [i / wanted for i in range(1, wanted)]
