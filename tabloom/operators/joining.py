@@ -65,13 +65,12 @@ def _attach_large(
     df: DataFrame, stats: DataFrame, keys: list[str], max_broadcast_bytes: int, hot_rows: int
 ) -> DataFrame:
     values = [c for c in stats.columns if c not in keys]
-    sizes = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), "key-sizes")
-    while True:
-        hot_keys = sizes.where(F.col("__rows") > hot_rows).select(*keys)
-        hot = materialize(stats.join(hot_keys, keys, "left_semi"), "hot-stats")
-        if fits_broadcast(hot, max_broadcast_bytes):
-            break
+    # Only the hot keys are kept: at most one per ``hot_rows`` rows.
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
+    hot = materialize(stats.join(sizes, keys), "hot-stats")
+    while not fits_broadcast(hot, max_broadcast_bytes):
         hot_rows *= 10
+        hot = hot.where(F.col("__rows") > hot_rows)
 
     hot_side = hot.select(*keys, *[F.col(v).alias(f"__hot_{v}") for v in values], F.lit(True).alias("__hot"))
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
