@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import sentence_pieces
+from tabloom.llm import decontaminate, line_rules, sentence_pieces, toxicity, twins, url_reputation, warc
 from tabloom.llm.base import table
 from tabloom.llm.registry import register
 
@@ -27,3 +27,78 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@register("op9_line_rules", twins.LINE_RULES)
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the line-first rules for every document."""
+    judged = line_rules.line_rules(table(spark, sf_dir, "documents"), cleaned=None, keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@register("op4_decontamination", twins.DECONTAMINATION)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items, and which items occur."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs, items, keep=["doc_id"])
+    hit = F.aggregate(
+        F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+@register("op8_toxicity")
+def toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model fitted on a bounded sample of labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    rejected = F.col("expected_severity") >= toxicity.THRESHOLD
+    return scored.withColumn("rejected", rejected)
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls of pages whose document (the number that ends the path) has labels; good is fair quality and not toxic."""
+    number = F.regexp_extract(url_reputation.path_of(F.col("url")), r"/(\d{1,18})(?:\.html|/)?$", 1)
+    pages = table(spark, sf_dir, "pages").select("url", number.try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return pages.join(labels, "doc_id").select("url", "good")
+
+
+@register("op7_url_reputation", twins.URL_REPUTATION)
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; outcomes are the labels of the documents that pages show."""
+    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), page_outcomes(spark, sf_dir))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register(
+    "op10_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+    f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, d.payload_digest,
+      CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+    FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest""",
+)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, read back and assembled from its records."""
+    captures = warc.round_trip(table(spark, sf_dir, "pages"))
+    stated = F.col("metadata")[0]["fields"]
+    return captures.select(
+        stated["page-id"].cast("long").alias("page_id"),
+        F.coalesce(F.col("response.payload_bytes"), stated["payload-bytes"].cast("long")).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"),
+        stated["refers-to-page-id"].cast("long").alias("refers_to"),
+    )

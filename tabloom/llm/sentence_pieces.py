@@ -140,7 +140,7 @@ MARKED = re.compile(r" *[^ \n]+|\n+| +")
 
 
 # Words whose ids a task keeps for its next batches; beyond that it begins anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 
 
 def encode_texts(texts: pa.Array, pieces: Pieces, kept: dict[str, list[int]] | None = None) -> pa.Array:
