@@ -32,9 +32,11 @@ SAMPLE_ROWS = 8_000
 MAX_FEATURES = 20_000
 MIN_ROWS = 5
 MIN_Z = 2.5
+# Least share of toxic rows among the rows with a feature.
+MIN_SHARE = 0.2
 BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6)
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 # Sampled features in one text at most; a text beyond that is left out of the fit (never of the scoring).
 SAMPLE_WORDS = 20_000
 
@@ -96,14 +98,20 @@ def log_odds(toxic: np.ndarray, lists: list[np.ndarray]) -> tuple[dict[int, tupl
     return {int(f): (float(s), float(x), float(y)) for f, s, x, y in zip(ids[common], z[common], a[common], b[common])}, ids
 
 
-def fit_severity(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 400, l1: float = 2e-4) -> Severity:
-    """Maximum likelihood with an L1 penalty, by Adam over all rows; shared weights, ordered cuts."""
+def telling(z: float, a: float, b: float) -> bool:
+    """Whether a feature goes into the model: clearly rarer in toxic rows, or clearly and often enough in them."""
+    return z <= -MIN_Z or (z >= MIN_Z and a >= MIN_SHARE * (a + b + 1))
+
+
+def fit_severity(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 400, spread: float = 1.0) -> Severity:
+    """The most probable model under a normal prior of deviation ``spread`` for weights, by Adam over all rows; shared weights, ordered cuts.
+    """
     grades = np.asarray(grades)
     top = int(grades.max()) if len(grades) else 0
     if top == 0 or not (grades == 0).any():
         return Severity({}, [np.inf] * max(top, 1))
     odds, _ = log_odds(grades, lists)
-    order = sorted((f for f, (z, _, _) in odds.items() if abs(z) >= MIN_Z), key=lambda f: (-abs(odds[f][0]), f))
+    order = sorted((f for f, v in odds.items() if telling(*v)), key=lambda f: (-abs(odds[f][0]), f))
     order = np.array(sorted(order[:MAX_FEATURES]), np.int64)
     cols, rows = [], []
     for i, x in enumerate(lists):
@@ -130,12 +138,12 @@ def fit_severity(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 400,
         g_cut = np.array([(d_low[grades == k].sum() - d_high[grades == k - 1].sum()) for k in range(1, top + 1)])
         tails = np.cumsum(g_cut[::-1])[::-1]
         g = np.concatenate([np.bincount(cols, g_score[rows], m), tails[:1], tails[1:] * np.exp(x[m + 1 :])]) / n
+        g[:m] += w / (n * spread * spread)
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         step = 0.1 * min(1.0, 4 * (1 - t / (rounds + 1)))
         rate = step / (np.sqrt(second / (1 - 0.999**t)) + 1e-6)
         x = x - rate * first / (1 - 0.9**t)
-        x[:m] = np.sign(x[:m]) * np.maximum(np.abs(x[:m]) - np.minimum(rate[:m] * l1, step * 0.2), 0)
     cuts = x[m] + np.concatenate([[0.0], np.cumsum(np.exp(x[m + 1 :]))])
     return Severity({int(f): float(v) for f, v in zip(order, x[:m]) if v}, [float(c) for c in cuts])
 
