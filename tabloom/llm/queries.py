@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, line_rules, sentence_pieces, toxicity, twins, url_reputation, warc
+from tabloom.llm import decontaminate, jaccard_join, line_rules, sentence_pieces, toxicity, twins, url_reputation, warc
 from tabloom.llm.base import table
 from tabloom.llm.registry import register
 
@@ -102,3 +102,9 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.kind").alias("record_type"),
         stated["refers-to-page-id"].cast("long").alias("refers_to"),
     )
+
+
+@register("op3_jaccard_join", twins.JACCARD)
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and number of links of every document under Jaccard 0.85 of its sets of four-word shingles."""
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))

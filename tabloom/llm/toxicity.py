@@ -104,7 +104,9 @@ def telling(z: float, a: float, b: float) -> bool:
 
 
 def fit_severity(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 400, spread: float = 1.0) -> Severity:
-    """The most probable model under a normal prior of deviation ``spread`` for weights, by Adam over all rows; shared weights, ordered cuts.
+    """The most probable model under a normal prior of deviation ``spread`` for weights, by Adam over all rows.
+
+    Weights are shared by the cuts, which stay in order.
     """
     grades = np.asarray(grades)
     top = int(grades.max()) if len(grades) else 0

@@ -109,3 +109,22 @@ SELECT page_id, host, path, {_rules()[0]} AS rule,
   coalesce({_rules()[1]}, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p
 """
+
+JACCARD = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, {words(LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM t WHERE len(ws) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(t.doc_id, coalesce(low, t.doc_id)) AS component_id,
+  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = t.doc_id LEFT JOIN l ON l.a = t.doc_id
+"""
