@@ -71,7 +71,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 def _planes(values: np.ndarray) -> bytes:
     """Integers by byte planes: the high bytes of small numbers lie together and compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
 def _unplaned(data: bytes, kind: type) -> np.ndarray:

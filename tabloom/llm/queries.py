@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, jaccard_join, line_rules, sentence_pieces, toxicity, twins, url_reputation, warc
+from tabloom.llm import decontaminate, jaccard_join, line_rules, sentence_pieces, suffix_dedup, toxicity, twins, url_reputation, warc
 from tabloom.llm.base import table
 from tabloom.llm.registry import register
 
@@ -108,3 +108,10 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and number of links of every document under Jaccard 0.85 of its sets of four-word shingles."""
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op5_suffix_dedup")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document covered by a 100-byte string that starts earlier in the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, kept=False, keep=["doc_id"])
