@@ -29,8 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(batch: pa.RecordBatch, column: int, limit: int = CUT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose values in ``column`` hold at most ``limit`` bytes, or one row."""
+    """Slices of a batch whose values in ``column`` hold at most ``limit`` bytes, or one row.
+
+    Of a struct, the first field counts.
+    """
     values = batch.column(column)
+    values = values.field(0) if pa.types.is_struct(values.type) else values
     sizes = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
     ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0

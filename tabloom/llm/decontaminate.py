@@ -17,7 +17,6 @@ have no name in the list. Documents are rows: repeated rows are judged alike.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +31,9 @@ WINDOW = 10
 # Words of items in one automaton, at some 300 bytes of memory each.
 BLOCK_WORDS = 500_000
 
+# Above this percentage of hit words a document goes as a whole.
+MAX_PERCENT = 50
+
 # Separators \x00-\x2F, \x3A-\x60 and \x7B-\x7F become spaces once A-Z are lower-cased.
 LETTERS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256)
@@ -270,5 +272,30 @@ def remove_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+def hit_words(spans: str = "spans"):
+    """Words inside the spans, as a column."""
+    signed = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def clean(
+    df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, max_percent: int = MAX_PERCENT,
+) -> DataFrame:
+    """``df`` without documents of which more than ``max_percent`` of the words are hits, and without the hit spans of
+    the others. Texts without hits never leave the JVM a second time and stay byte for byte as they are."""
+    found = contamination(df, items, text, item_id, item_text, window)
+    kept = found.where(hit_words() * 100 <= F.col("n_words") * max_percent)
+    value = F.struct(F.when(F.size("spans") > 0, F.col(f"`{text}`")).alias("text"), F.col("spans").alias("spans"))
+
+    def prepare():
+        def make(rows: pa.Array) -> list[pa.Array]:
+            texts, spans = rows.field("text").to_pylist(), rows.field("spans").to_pylist()
+            return [pa.array([remove_spans(t, s) for t, s in zip(texts, spans)], pa.string())]
+
+        return make
+
+    cut = with_arrow(kept.withColumn("__pair", value), "__pair", [T.StructField("__cut", T.StringType())], prepare)
+    return cut.select(
+        *[F.coalesce("__cut", f"`{c}`").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
+    )

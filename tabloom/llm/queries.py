@@ -43,9 +43,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items, and which items occur."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, items, keep=["doc_id"])
-    hit = F.aggregate(
-        F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x
-    )
+    hit = decontaminate.hit_words()
     return found.select(
         "doc_id",
         "n_words",
