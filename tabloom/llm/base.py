@@ -104,3 +104,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Integers by byte planes: the high bytes of small numbers lie together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def bucketed(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``n`` even ranges each 64-bit hash lies in, and the next 32 bits; both keep the order."""
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    high = (hashes >> half) * np.uint64(n)
+    mid = (high & low) + (((hashes & low) * np.uint64(n)) >> half)
+    return ((high >> half) + (mid >> half)).astype(np.int64), (mid & low).astype(np.uint32)

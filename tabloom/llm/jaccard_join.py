@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import coded, cut, mixed, per_row, split_words
+from tabloom.llm.base import bucketed, coded, cut, mixed, per_row, planes, split_words, unplaned
 from tabloom.llm.components import components
 from tabloom.runtime import fits_broadcast, materialize
 
@@ -69,24 +69,6 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Integers by byte planes: the high bytes of small numbers lie together and compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
-
-
-def _unplaned(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def bucketed(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``n`` even ranges each 64-bit hash lies in, and the next 32 bits; both keep the order."""
-    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
-    high = (hashes >> half) * np.uint64(n)
-    mid = (high & low) + (((hashes & low) * np.uint64(n)) >> half)
-    return ((high >> half) + (mid >> half)).astype(np.int64), (mid & low).astype(np.uint32)
-
-
 def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set: sums of its mixed members."""
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
@@ -125,7 +107,7 @@ def _postings(n_buckets: int, words: int):
                 bucket, rest = bucketed(every, n_buckets)
                 edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 rows = [
-                    (b, chunk, len(sets), _planes(np.diff(rest[a:z], prepend=np.uint32(0))), _planes(owner[a:z]), head if not b else None)
+                    (b, chunk, len(sets), planes(np.diff(rest[a:z], prepend=np.uint32(0))), planes(owner[a:z]), head if not b else None)
                     for b, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()))
                     if z > a or not b
                 ]
@@ -140,7 +122,7 @@ OWN = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("own",
 
 def _own_in_bucket(group: pa.Table) -> pa.Table:
     """Per batch: how many shingles of each text occur in no other text, as far as this bucket goes."""
-    rests = [np.cumsum(_unplaned(x, np.uint32), dtype=np.uint32) for x in group["hashes"].to_pylist()]
+    rests = [np.cumsum(unplaned(x, np.uint32), dtype=np.uint32) for x in group["hashes"].to_pylist()]
     every = np.concatenate(rests)
     order = np.argsort(every, kind="stable")
     same = every[order][1:] == every[order][:-1]
@@ -149,7 +131,7 @@ def _own_in_bucket(group: pa.Table) -> pa.Table:
     single[order[:-1][same]] = False
     own, at = [], 0
     for rest, docs, size in zip(rests, group["docs"].to_pylist(), group["size"].to_pylist()):
-        mine = _unplaned(docs, np.uint32)[single[at : at + len(rest)]]
+        mine = unplaned(docs, np.uint32)[single[at : at + len(rest)]]
         own.append(np.bincount(mine, minlength=size).astype(np.uint32).tobytes())
         at += len(rest)
     return pa.table({"chunk": group["chunk"], "own": pa.array(own, pa.binary()), "head": group["head"]})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, jaccard_join, line_rules, sentence_pieces, suffix_dedup, toxicity, twins, url_reputation, warc
+from tabloom.llm import decontaminate, jaccard_join, lattice_lm, line_rules, sentence_pieces, suffix_dedup, toxicity, twins, url_reputation, warc
 from tabloom.llm.base import table
 from tabloom.llm.registry import register
 
@@ -113,3 +113,9 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document covered by a 100-byte string that starts earlier in the corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs, kept=False, keep=["doc_id"])
+
+
+@register("op6_lattice_lm")
+def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice log10 probability of every document; both learn from the documents that are not held out."""
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"))

@@ -40,8 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import cut, mixed
-from tabloom.llm.jaccard_join import _planes, _unplaned, bucketed
+from tabloom.llm.base import bucketed, cut, mixed, planes, unplaned
 from tabloom.operators.ordering import position_in_order
 from tabloom.runtime import fits_broadcast, materialize
 
@@ -171,7 +170,7 @@ def _entries(n_buckets: int):
                     r, k = rec[x], later[y]
                     if len(r) or len(k):
                         values = (np.diff(rest[x], prepend=np.uint32(0)), content[r], doc[r], start[r], size[r], offset[r], flag[x], doc[k], start[k], size[k])
-                        rows.append((b, *[_planes(v.astype(kind)) for v, kind in zip(values, KINDS)]))
+                        rows.append((b, *[planes(v.astype(kind)) for v, kind in zip(values, KINDS)]))
                 columns = list(zip(*rows)) or [()] * 11
                 arrays = [pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]]
                 yield pa.RecordBatch.from_arrays(arrays, names=ENTRIES.names)
@@ -186,7 +185,7 @@ MARKS = T.StructType(
 
 def _dictionary(group: pa.Table) -> pa.Table:
     """Of a bucket: spans of phrases that occur earlier, and those entries (``ask``) whose trigger has others."""
-    parts = {n: [_unplaned(x, k) for x in group[n].to_pylist()] for n, k in zip(BLOBS, KINDS)}
+    parts = {n: [unplaned(x, k) for x in group[n].to_pylist()] for n, k in zip(BLOBS, KINDS)}
     key = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in parts["key"]])
     content, doc, start, size, offset, flag = (np.concatenate(parts[n]) for n in BLOBS[1:7])
     order = np.lexsort((start, doc, flag == MARK, content, key))
