@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, jaccard_join, lattice_lm, line_rules, sentence_pieces, suffix_dedup, toxicity, twins, url_reputation, warc
+from tabloom.llm import decontaminate, jaccard_join, lattice_lm, license_scan, line_rules, sentence_pieces, suffix_dedup, toxicity, twins, url_reputation, warc
 from tabloom.llm.base import table
 from tabloom.llm.registry import register
 
@@ -119,3 +119,10 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and lattice log10 probability of every document; both learn from the documents that are not held out."""
     return lattice_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op2_license_scan", twins.LICENSES)
+def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the lines, paragraphs or whole of every document are like."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"), "n_lines")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import line_rules, url_reputation
+from tabloom.llm import license_scan, line_rules, url_reputation
 
 SPACE = r"[\x20\x09-\x0D]"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,3 +128,33 @@ SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(t.doc_id,
   CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = t.doc_id LEFT JOIN l ON l.a = t.doc_id
 """
+
+
+def _bigrams(text: str) -> str:
+    own = rf"list_filter(regexp_split_to_array({LOWER.format(text)}, '[\x00-/:-`{{-\x7f]+'), lambda x: x <> '')"
+    return f"list_distinct(list_zip(({own})[:-2], ({own})[2:]))"
+
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES.items())
+
+LICENSES = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS unit, 1 AS line FROM t
+  UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')), 0 FROM t
+  UNION ALL SELECT r, text, 0 FROM t
+),
+b AS (SELECT row_number() OVER () AS i, r, line, {_bigrams('unit')} AS bi FROM u),
+l AS (SELECT name, {_bigrams('words')} AS bi FROM (VALUES {_TEMPLATES}) AS v(name, words)),
+m AS (
+  SELECT i, r, line, name, 2.0 * len(list_intersect(b.bi, l.bi)) / (len(b.bi) + len(l.bi)) AS dice
+  FROM b JOIN l ON len(b.bi) BETWEEN 0.5 * len(l.bi) AND 2 * len(l.bi)
+),
+h AS (SELECT * FROM m WHERE dice >= {license_scan.MIN_DICE}),
+s AS (
+  SELECT r, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses,
+    count(DISTINCT i) FILTER (line = 1) AS n_lines FROM h GROUP BY r
+)
+SELECT doc_id, license, CAST(dice AS DOUBLE) AS dice, coalesce(licenses, '') AS licenses, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
+FROM t LEFT JOIN s USING (r)
+"""
