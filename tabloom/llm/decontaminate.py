@@ -189,69 +189,43 @@ def contamination(
     window: int = WINDOW, keep: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with ``n_words``, hit ``spans`` (start, end, start, end ... in words) and the ``items`` that occur."""
-    kept = [c for c in df.columns if keep is None or c in keep]
-    source = df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__text"))
-    out = None
+    kept = [c for c in df.columns if (keep is None or c in keep) and c not in {f.name for f in FIELDS}]
+    out = df.select(
+        *[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__text"),
+        F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"),
+    )
+    done = 0
     for block in item_blocks(items, item_id, item_text):
-        if out is not None:
-            out = materialize(out, "contamination")
-        out = _through(source if out is None else out, block, window, first=out is None)
-    if out is None:
-        out = _through(source, [], window, first=True)
-    return out.drop("__text")
+        out = _through(materialize(out, "contamination") if done else out, block, window)
+        done += 1
+    return (out if done else _through(out, [], window)).drop("__text")
 
 
-def _through(df: DataFrame, block: list[tuple[object, list[bytes]]], window: int, first: bool) -> DataFrame:
+def _through(df: DataFrame, block: list[tuple[object, list[bytes]]], window: int) -> DataFrame:
+    """``df`` with ``n_words``, and with what this block's items add to ``spans`` and ``items``."""
     shared = df.sparkSession.sparkContext.broadcast(block)
-    if first:
-        new = _spans_of(df, shared, window, ("n_words", "spans", "items"))
-        return new
-    more = _spans_of(df, shared, window, ("__n", "__spans", "__items"))
-    return more.select(
-        *[f"`{c}`" for c in df.columns if c not in ("spans", "items")],
-        _merge_spans("spans", "__spans").alias("spans"),
-        F.concat("items", "__items").alias("items"),
-    )
 
-
-def _merge_spans(a: str, b: str):
-    """Both span lists as one list in order; spans that touch become one."""
-    pair = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) / 2 - 1), lambda i: F.struct(
-        F.get(c, (i * 2).cast("int")).alias("s"), F.get(c, (i * 2 + 1).cast("int")).alias("e")))
-    pairs = lambda c: F.when(F.size(c) > 0, pair(F.col(c))).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
-    ordered = F.array_sort(F.concat(pairs(a), pairs(b)))
-    last = lambda acc: F.element_at(acc, -1)
-    joined = F.aggregate(
-        ordered,
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= last(acc)), F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.greatest(last(acc), x["e"]))
-        )).otherwise(F.concat(acc, F.array(x["s"], x["e"]))),
-    )
-    return joined
-
-
-def _spans_of(df: DataFrame, shared, window: int, names: tuple[str, str, str]) -> DataFrame:
     def prepare():
         automaton = Automaton(shared.value, window)
 
-        def make(texts: pa.Array) -> list[pa.Array]:
+        def make(rows: pa.Array) -> list[pa.Array]:
             counts, spans, items = [], [], []
-            for text in texts:
-                words = words_of(text.as_py())
+            before = zip(*[rows.field(i).to_pylist() for i in range(3)])
+            for text, old, names in before:
+                words = words_of(text)
                 where, found = automaton.scan(words)
+                where = merged(list(zip(old[::2], old[1::2])), where) if old else where
                 counts.append(len(words))
                 spans.append([x for span in where for x in span])
-                items.append([automaton.names[i] for i in sorted(found)])
+                items.append(names + [automaton.names[i] for i in sorted(found)])
             return [
                 pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())),
             ]
 
         return make
 
-    fields = [T.StructField(name, f.dataType) for name, f in zip(names, FIELDS)]
-    kept = with_arrow(df.withColumn("__value_text", F.col("__text")), "__value_text", fields, prepare)
-    return kept.drop("__value_text")
+    state = F.struct(F.col("__text").alias("text"), "spans", "items")
+    return with_arrow(df.withColumn("__state", state), "__state", FIELDS, prepare).drop("__state")
 
 
 def remove_spans(text: str | None, spans: list[int]) -> str | None:
