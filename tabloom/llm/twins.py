@@ -98,11 +98,11 @@ h1 AS (
 top AS (SELECT (coalesce(sum(g), 0) + {url_reputation.DEFAULT_GOOD * url_reputation.DEFAULT_STRENGTH})
   / (coalesce(sum(n), 0) + {url_reputation.DEFAULT_STRENGTH}) AS mean FROM h1),
 s1 AS (SELECT suffix, sum(n) AS n, sum(g) AS g, any_value(mean) AS above FROM h1, top GROUP BY suffix),
-s2 AS (SELECT suffix, (g + strength * above) / (n + strength) AS mean FROM s1, {_strength('s1')}),
 d1 AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(g) AS g FROM h1 GROUP BY domain),
-d2 AS (SELECT d1.*, s2.mean AS above FROM d1 JOIN s2 USING (suffix)),
-d3 AS (SELECT domain, (g + strength * above) / (n + strength) AS mean FROM d2, {_strength('d2')}),
-h2 AS (SELECT h1.*, d3.mean AS above FROM h1 JOIN d3 USING (domain)),
+d2 AS (SELECT d1.*, (s1.g - d1.g + strength * s1.above) / (s1.n - d1.n + strength) AS above
+  FROM d1 JOIN s1 USING (suffix), {_strength('s1')}),
+h2 AS (SELECT h1.*, (d2.g - h1.g + strength * d2.above) / (d2.n - h1.n + strength) AS above
+  FROM h1 JOIN d2 USING (domain), {_strength('d2')}),
 h3 AS (SELECT host, g + strength * above AS a, n - g + strength * (1 - above) AS b FROM h2, {_strength('h2')}),
 bad AS (SELECT host FROM h3 WHERE a / (a + b) + {url_reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {url_reputation.MIN_GOOD})
 SELECT page_id, host, path, {_rules()[0]} AS rule,

@@ -4,8 +4,8 @@ Labelled outcomes of pages (good or bad) are counted per host, registered
 domain and public suffix. Each level's beta prior has the mean of the level
 above and a strength estimated from the spread among that level's own members
 (by moments of the beta-binomial). The posterior of a host is its counts on top
-of its domain's prior, and so on up; a host without labels has the prior. A
-page is blocked if the upper posterior bound of its host's good share lies
+of its domain's prior, and so on up; a prior leaves out the member's own labels,
+so that none counts twice. A page is blocked if the upper posterior bound of its host's good share lies
 below ``min_good``: a host goes only on evidence.
 
 Only counts are shuffled before the join, combined per task first. The join by
@@ -115,8 +115,10 @@ def strength_of(excess: float | None, trials: float | None) -> float:
     return high if rho <= 0 else min(max(1 / rho - 1, low), high)
 
 
-def _shrunk(good: str, n: str, mean: Column, strength: float) -> Column:
-    return (F.col(good) + F.lit(strength) * mean) / (F.col(n) + F.lit(strength))
+def _others(level: str, strength: float) -> Column:
+    """The shrunken mean of the level above without the member's own counts, so that no label counts twice."""
+    good, n = F.col(f"{level}_g") - F.col("g"), F.col(f"{level}_n") - F.col("n")
+    return (good + F.lit(strength) * F.col(f"{level}_above")) / (n + F.lit(strength))
 
 
 def _level_strength(members: DataFrame) -> float:
@@ -128,28 +130,25 @@ def _level_strength(members: DataFrame) -> float:
     return strength_of(row["excess"], row["trials"])
 
 
-def reputations(
-    outcomes: DataFrame, host: str = "host", good: str = "good"
-) -> tuple[DataFrame, DataFrame, DataFrame, Prior]:
-    """Hosts with labels and their posterior ``alpha`` and ``beta``; shrunken means of domains and of suffixes; the priors."""
+def reputations(outcomes: DataFrame, host: str = "host", good: str = "good") -> tuple[DataFrame, Prior]:
+    """Hosts with labels: counts ``n`` and ``g``, prior mean ``above``, posterior ``alpha`` and ``beta``; and the priors."""
     counts = outcomes.where(F.col(good).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(good).cast("long")).alias("g")
     )
     hosts = materialize(counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    row = hosts.agg(F.sum("n").alias("n"), F.sum("g").alias("g")).first()
+    totals = F.sum("n").alias("n"), F.sum("g").alias("g")
+    row = hosts.agg(*totals).first()
     mean = ((row["g"] or 0) + DEFAULT_GOOD * DEFAULT_STRENGTH) / ((row["n"] or 0) + DEFAULT_STRENGTH)
-    top = _level_strength(suffixes.withColumn("above", F.lit(mean)))
-    suffixes = suffixes.select("suffix", _shrunk("g", "n", F.lit(mean), top).alias("suffix_mean"))
-    domains = domains.join(suffixes, "suffix").withColumn("above", F.col("suffix_mean"))
+    suffixes = hosts.groupBy("suffix").agg(*totals).withColumn("above", F.lit(mean))
+    top = _level_strength(suffixes)
+    above = suffixes.select("suffix", *[F.col(c).alias(f"suffix_{c}") for c in ("n", "g", "above")])
+    domains = hosts.groupBy("domain", "suffix").agg(*totals).join(above, "suffix").withColumn("above", _others("suffix", top))
     middle = _level_strength(domains)
-    domains = domains.select("domain", _shrunk("g", "n", F.col("above"), middle).alias("domain_mean"))
-    hosts = hosts.join(domains, "domain").withColumn("above", F.col("domain_mean"))
+    above = domains.select("domain", *[F.col(c).alias(f"domain_{c}") for c in ("n", "g", "above")])
+    hosts = hosts.join(above, "domain").withColumn("above", _others("domain", middle))
     low = _level_strength(hosts)
     alpha, beta = F.col("g") + low * F.col("above"), F.col("n") - F.col("g") + low * (1 - F.col("above"))
-    hosts = hosts.select("host", "n", "g", alpha.alias("alpha"), beta.alias("beta"))
-    return hosts, domains, suffixes, Prior(mean, top, middle, low)
+    return hosts.select("host", "n", "g", "above", alpha.alias("alpha"), beta.alias("beta")), Prior(mean, top, middle, low)
 
 
 def upper_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
@@ -166,7 +165,7 @@ def judge_urls(
 
     Columns of those names are replaced. A host without labels has no evidence of its own and is allowed.
     """
-    hosts, _, _, _ = reputations(outcomes.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{good}`").alias("good")), "host", "good")
+    hosts, _ = reputations(outcomes.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{good}`").alias("good")), "host", "good")
     blocked = hosts.where(upper_bound(F.col("alpha"), F.col("beta"), z) < min_good).select(F.col("host").alias("__host"))
     base = pages.withColumn("__url", F.col(f"`{url}`")).drop("host", "path", "rule", "verdict")
     base = base.withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url"))).drop("__url")
