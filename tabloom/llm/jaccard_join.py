@@ -45,6 +45,8 @@ PERCENT = 85
 # Bytes of text whose shingles one bucket counts, and distinct sets in a block.
 BUCKET_BYTES = 12 << 20
 BLOCK_SETS = 1_000
+# Bytes of text hashed at once.
+CUT = 4 << 20
 FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -94,7 +96,7 @@ def _postings(n_buckets: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in cut(batch, 1):
+            for piece in cut(batch, 1, CUT):
                 sets = shingle_sets(piece.column(1), words)
                 chunk, number = f"{part}:{number}", number + 1
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -164,7 +166,7 @@ FULL = T.StructType(
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in cut(batch, 1):
+            for piece in cut(batch, 1, CUT):
                 sets = shingle_sets(piece.column(1), words)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
