@@ -49,7 +49,7 @@ TRIGGER = 32
 SEGMENT = 1 << 18
 # Bytes of text in one bucket, and parsed at once; phrases take some 4 times their text while sorted.
 BUCKET_BYTES = 8 << 20
-CUT = 2 << 20
+PARSE_BYTES = 2 << 20
 SPLIT = 18
 BROADCAST = 32 << 20
 
@@ -132,7 +132,7 @@ def _entries(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(SEGMENT + LENGTH)
         for batch in batches:
-            for piece in cut(batch, 1, CUT):
+            for piece in cut(batch, 1, PARSE_BYTES):
                 ids = piece.column(0).to_numpy(zero_copy_only=False)
                 order = np.argsort(ids, kind="stable")
                 ids, texts = ids[order], piece.column(1).take(pa.array(order)).to_pylist()
