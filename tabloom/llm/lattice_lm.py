@@ -42,7 +42,8 @@ from tabloom.runtime import materialize
 
 HELD_OUT = 10
 ALPHA = 0.1
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
+CUT = 4 << 20
 SCALES = (500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0)
 # Pieces with a score as low as this are there for form only and have no weight.
 NO_WEIGHT = -1e6
@@ -108,7 +109,7 @@ def _batches(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in cut(batch, 2):
+            for piece in cut(batch, 2, CUT):
                 chunk, number = f"{part}:{number}", number + 1
                 held = piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 n = len(held)
