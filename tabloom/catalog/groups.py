@@ -112,17 +112,22 @@ def median_imputer(spark, sf_dir):
     )
 
 
-EVIDENCE_SQL = """SELECT Ticket, nullif(CAST(count(*) FILTER (WHERE am) AS DOUBLE), 0) AS ticket_am_count,
- avg(Survived) FILTER (WHERE am) AS ticket_am_rate, nullif(CAST(count(*) FILTER (WHERE NOT am) AS DOUBLE), 0) AS ticket_wc_count,
- avg(Survived) FILTER (WHERE NOT am) AS ticket_wc_rate
- FROM (SELECT *, coalesce(Sex = 'male' AND Age >= 16 AND TitleGroup <> 'Master', false) AS am FROM b WHERE Survived IS NOT NULL) GROUP BY Ticket"""
+EVIDENCE_SQL = " UNION ALL ".join(
+    f"""SELECT '{key}' AS kind, {key} AS key, nullif(CAST(count(*) FILTER (WHERE am) AS DOUBLE), 0) AS am_count,
+ avg(Survived) FILTER (WHERE am) AS am_rate, nullif(CAST(count(*) FILTER (WHERE NOT am) AS DOUBLE), 0) AS wc_count,
+ avg(Survived) FILTER (WHERE NOT am) AS wc_rate
+ FROM (SELECT *, coalesce(Sex = 'male' AND Age >= 16 AND TitleGroup <> 'Master', false) AS am FROM b WHERE Survived IS NOT NULL) GROUP BY {key}"""
+    for key in ("Surname", "Ticket")
+)
 
 
 @register("group_rule_stats", from_features(EVIDENCE_SQL))
 def group_rule_stats(spark, sf_dir):
     known = segment_flags(row_features(spark, sf_dir).where("Survived IS NOT NULL"), age="Age")
-    segments = {"ticket_am": F.col("AdultMale") == 1.0, "ticket_wc": F.col("WomenChild") == 1.0}
-    return groups.group_evidence(known, ["Ticket"], segments, "Survived")
+    segments = {"am": F.col("AdultMale") == 1.0, "wc": F.col("WomenChild") == 1.0}
+    parts = [groups.group_evidence(known, [k], segments, "Survived").withColumnRenamed(k, "key") for k in ("Surname", "Ticket")]
+    surname, ticket = [p.select(F.lit(k).alias("kind"), *p.columns) for k, p in zip(("Surname", "Ticket"), parts)]
+    return surname.unionByName(ticket)
 
 
 @register(
@@ -267,18 +272,34 @@ def vote_sum(spark, sf_dir):
 
 @register(
     "join_group_stats",
-    from_features("SELECT PassengerId, SurnameGroupSize, TicketGroupSize, a1.m AS AgeMedianTitle FROM j"
-                  " LEFT JOIN a1 ON a1.Sex = j.Sex AND a1.Pclass = j.Pclass AND a1.TitleGroup = j.TitleGroup"),
+    from_features("SELECT PassengerId, SurnameGroupSize, TicketGroupSize, a1.m AS AgeMedianTitle, a2.m AS AgeMedianClass,"
+                  " f1.m AS FareMedianPort, f2.m AS FareMedianClass FROM j"
+                  " LEFT JOIN a1 ON a1.Sex = j.Sex AND a1.Pclass = j.Pclass AND a1.TitleGroup = j.TitleGroup"
+                  " LEFT JOIN a2 ON a2.Sex = j.Sex AND a2.Pclass = j.Pclass"
+                  " LEFT JOIN f1 ON f1.Pclass = j.Pclass AND f1.EmbarkedFilled = j.EmbarkedFilled"
+                  " LEFT JOIN f2 ON f2.Pclass = j.Pclass"),
 )
 def join_group_stats(spark, sf_dir):
     rows = row_features(spark, sf_dir)
-    keys = ["Sex", "Pclass", "TitleGroup"]
-    tables = [
-        (groups.group_size(rows, ["Surname"], "SurnameGroupSize"), ["Surname"]),
-        (groups.group_size(rows, ["Ticket"], "TicketGroupSize"), ["Ticket"]),
-        (grouped_median(rows, keys, "Age", "AgeMedianTitle"), keys),
-    ]
-    return attach_stats(rows, tables).select("PassengerId", "SurnameGroupSize", "TicketGroupSize", "AgeMedianTitle")
+    rows = rows.withColumn("EmbarkedFilled", F.coalesce("Embarked", F.lit("S")))
+    medians = [
+        ("Age", "AgeMedianTitle", ["Sex", "Pclass", "TitleGroup"]), ("Age", "AgeMedianClass", ["Sex", "Pclass"]),
+        ("Fare", "FareMedianPort", ["Pclass", "EmbarkedFilled"]), ("Fare", "FareMedianClass", ["Pclass"]),
+    ]
+    tables = [(groups.group_size(rows, [k], f"{k}GroupSize"), [k]) for k in ("Surname", "Ticket")]
+    tables += [(grouped_median(rows, keys, column, out), keys) for column, out, keys in medians]
+    return attach_stats(rows, tables).select("PassengerId", "SurnameGroupSize", "TicketGroupSize", *[m[1] for m in medians])
+
+
+@register(
+    "join_group_stats_equal_rows",
+    "SELECT l_returnflag, CAST(count(*) OVER (PARTITION BY l_returnflag) AS DOUBLE) AS flag_size FROM lineitem",
+)
+def join_group_stats_equal_rows(spark, sf_dir):
+    """Rows with nothing but a hot key, their statistics taken as too large to broadcast."""
+    rows = views.table(spark, sf_dir, "lineitem").select("l_returnflag")
+    sizes = groups.group_size(rows, ["l_returnflag"], "flag_size")
+    return attach_stats(rows, [(sizes, ["l_returnflag"])], max_broadcast_bytes=0, hot_rows=1_000)
 
 
 @register(

@@ -25,20 +25,17 @@ from tabloom.sources.sinks import (
 )
 from tabloom.sources.tables import read_table
 
-ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-
-
-@register("src_csv", f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders")
+@register("src_csv", "SELECT * FROM orders")
 def src_csv(spark, sf_dir):
-    path = write_parts(views.table(spark, sf_dir, "orders").select(*ORDER_COLUMNS), scratch_path(spark, "csv"), "csv")
+    path = write_parts(views.table(spark, sf_dir, "orders"), scratch_path(spark, "csv"), "csv")
     back = read_table(spark, path)
     return back.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")})
 
 
-@register("src_csv_nullmarker", from_passengers("SELECT PassengerId, Age, Fare, Embarked FROM p"))
+@register("src_csv_nullmarker", from_passengers("SELECT * FROM p"))
 def src_csv_nullmarker(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    rows = views.passengers(spark, sf_dir).select("PassengerId", "Age", "Fare", "Embarked")
+    rows = views.passengers(spark, sf_dir)
     rows.write.option("header", True).option("nullValue", "NA").csv(path)
     return read_table(spark, path, null_value="NA").withColumn("PassengerId", F.col("PassengerId").cast("long"))
 
@@ -49,9 +46,9 @@ def src_csv_untyped(spark, sf_dir):
     return read_table(spark, write_parts(rows, scratch_path(spark, "csv"), "csv"), infer=False)
 
 
-@register("sink_single_csv", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+@register("sink_single_csv", "SELECT * FROM customer")
 def sink_single_csv(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_custkey")
+    rows = views.table(spark, sf_dir, "customer").orderBy("c_custkey")
     path = write_single_csv(rows, scratch_path(spark, "single") + ".csv")
     return read_table(spark, path, schema=rows.schema)
 
@@ -64,7 +61,7 @@ def sink_single_csv(spark, sf_dir):
 )
 def sink_class_submission(spark, sf_dir):
     rows = views.passengers(spark, sf_dir).withColumn("prediction", at_threshold(given_score(37), 0.5))
-    return classification_output(rows, "PassengerId", "Survived")
+    return classification_output(rows, "PassengerId", "Survived", id_type="int")
 
 
 @register(
@@ -76,7 +73,7 @@ def sink_class_submission(spark, sf_dir):
 )
 def sink_reg_submission(spark, sf_dir):
     guess = F.when(F.col("MoSold") == 1, -1.0).otherwise(F.log1p("SalePrice"))
-    out = regression_output(views.houses(spark, sf_dir).withColumn("prediction", guess), "Id", "SalePrice")
+    out = regression_output(views.houses(spark, sf_dir).withColumn("prediction", guess), "Id", "SalePrice", id_type="int")
     return out.withColumn("SalePrice", F.round("SalePrice", 6))
 
 

@@ -28,11 +28,14 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, code): codes by falling frequency, ties by value.
 
     One pass counts the values of all columns, and one distributed sort numbers
-    them, so a column may hold more distinct values than a driver can.
+    them, so a column may hold more distinct values than a driver can. Columns
+    of different types are coded by their values as text.
     """
+    as_text = len({df.schema[c].dataType.simpleString() for c in columns}) > 1
+    value_of = lambda c: F.col(f"`{c}`").cast("string") if as_text else F.col(f"`{c}`")
     pairs = df.select(
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
+            F.array(*[F.struct(F.lit(c).alias("column"), value_of(c).alias("value")) for c in columns])
         ).alias("p")
     ).select("p.column", "p.value")
     counts = pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
@@ -50,7 +53,8 @@ def string_index(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     free = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     for c in columns:
         out = f"{c}{suffix}"
-        of_column = codes.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(out))
+        value = F.col("value").cast(df.schema[c].dataType)
+        of_column = codes.where(F.col("column") == c).select(value.alias(c), F.col("code").alias(out))
         df = attach_by_key(df, of_column, [c], written=True).withColumn(
             out, F.coalesce(F.col(out), F.lit(float(free.get(c, 0))))
         )

@@ -8,12 +8,13 @@ from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.runtime import BROADCAST_BYTES, fits_broadcast, materialize, together
 
 HOT_ROWS = 1_000_000
-SPREAD = 1024
+# Hot keys are at most rows / HOT_ROWS; their table is broadcast up to this size, and salted beyond.
+HOT_BYTES = 32 * 1024 * 1024
+SALTS = 256
 
 
 def attach_by_key(
@@ -29,9 +30,10 @@ def attach_by_key(
     The statistics are written once and measured. If they fit the limit they
     are broadcast, and ``df`` is not shuffled. Otherwise ``df`` is shuffled by
     key, except for rows of hot keys and of null keys: hot keys are few (at
-    most rows / ``hot_rows``), so their statistics are broadcast and their rows
-    are spread evenly. A null key finds no match. ``written`` says that
-    ``stats`` already is a written table.
+    most rows / ``hot_rows``), so their statistics are broadcast (or copied to
+    salts, if that is too much) and their rows never meet in one task, however
+    alike they are. A null key finds no match. ``written`` says that ``stats``
+    already is a written table.
     """
     return attach_stats(df, [(stats, keys)], max_broadcast_bytes, hot_rows, written)
 
@@ -65,36 +67,30 @@ def _attach_large(
     df: DataFrame, stats: DataFrame, keys: list[str], max_broadcast_bytes: int, hot_rows: int
 ) -> DataFrame:
     values = [c for c in stats.columns if c not in keys]
-    # Only the hot keys are kept: at most one per ``hot_rows`` rows.
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
-    hot = materialize(stats.join(sizes, keys), "hot-stats")
-    while not fits_broadcast(hot, max_broadcast_bytes):
-        hot_rows *= 10
-        hot = hot.where(F.col("__rows") > hot_rows)
-
-    hot_side = hot.select(*keys, *[F.col(v).alias(f"__hot_{v}") for v in values], F.lit(True).alias("__hot"))
+    # At most one key per ``hot_rows`` rows, also those that have no statistics.
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows).drop("__rows")
+    hot = materialize(sizes.dropna().join(stats, keys, "left"), "hot-stats")
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
-    marked = df.join(F.broadcast(hot_side), keys, "left").withColumn(
-        "__spread",
-        F.when(F.col("__hot") | no_key, F.pmod(row_hash, F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long")),
-    )
-    # Written, so that the optimizer does not take the spread out of the join keys as a constant.
-    cold_side = materialize(
-        stats.join(F.broadcast(hot_side.select(*keys)), keys, "left_anti").withColumn("__spread", F.lit(0).cast("long")),
-        "cold-stats",
-    )
-    joined = marked.join(cold_side, [*keys, "__spread"], "left")
-    rest = [c for c in df.columns if c not in keys]
-    return joined.select(
-        *keys,
-        *[F.col(f"`{c}`") for c in rest],
-        *[F.coalesce(F.col(f"__hot_{v}"), F.col(v)).alias(v) for v in values],
-    )
-
-
-def _hashable(data_type: T.DataType) -> bool:
-    return isinstance(data_type, T.AtomicType)
+    cold = df.where(~no_key).join(_small_side(hot.select(*keys), max_broadcast_bytes), keys, "left_anti")
+    columns = [*keys, *[c for c in df.columns if c not in keys]]
+    order = [F.col(f"`{c}`") for c in [*columns, *values]]
+    kinds = {f.name: f.dataType for f in stats.schema.fields}
+    none = df.where(no_key).withColumns({v: F.lit(None).cast(kinds[v]) for v in values})
+    parts = [cold.join(stats, keys, "left"), _attach_hot(df, hot, keys, max_broadcast_bytes), none]
+    return reduce(lambda x, y: x.union(y), [part.select(*order) for part in parts])
+
+
+def _small_side(table: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(table) if fits_broadcast(table, max(limit, HOT_BYTES)) else table
+
+
+def _attach_hot(df: DataFrame, hot: DataFrame, keys: list[str], max_broadcast_bytes: int) -> DataFrame:
+    """Rows of hot keys stay where they are; beyond the limit, each statistic is copied to every salt instead."""
+    if fits_broadcast(hot, max(max_broadcast_bytes, HOT_BYTES)):
+        return df.join(F.broadcast(hot), keys)
+    copies = hot.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
 def join_by_id(frames: Sequence[DataFrame], id_col: str, how: str = "inner") -> DataFrame:

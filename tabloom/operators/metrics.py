@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ def roc_auc(
     Rows are first counted per distinct score. Scores are cut into ascending
     slices of bounded size, each slice counts its own pairs, and a running sum
     over the slices (one row each) adds the pairs between slices. No task sorts
-    all scores. A key with one class only reads null.
+    all scores. A key with one class only reads null. NaN is the highest score.
     """
     kept = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         *keys, F.col(score).cast("double").alias(VALUE), F.col(label).cast("double").alias("__label")
@@ -86,7 +88,11 @@ def classification_scores(
     """Accuracy and AUC per key set, such as per fold or per rule variant."""
     keys = list(keys)
     hits = accuracy(df, prediction, label, keys)
-    return hits.join(roc_auc(df, score, label, keys, n_rows=n_rows), keys)
+    # A null key is a group of its own, and a group without scores keeps its accuracy.
+    ranked = roc_auc(df, score, label, keys, n_rows=n_rows)
+    ranked = ranked.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in keys], "auc")
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in keys], F.lit(True))
+    return hits.join(ranked, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 def rmse_of(label: Column, prediction: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from tabloom.runtime import fits_broadcast, materialize
 
 ROWS_PER_SLICE = 1_000_000
-# Finer cuts would make the sketches themselves large; slices then hold more rows instead.
-MAX_SLICES = 10_000
+# Slices that one sketch cuts; more are made by cutting each slice again.
+FAN = 1_000
 VALUE = "__value"
 SLICE = "__slice"
 
@@ -31,18 +31,39 @@ def with_value_slices(df: DataFrame, column: str, n_rows: int, rows_per_slice: i
     """Number ascending value ranges that hold about ``rows_per_slice`` rows each.
 
     The cut points come from one mergeable sketch, so every key's rows are
-    spread over the slices however skewed the keys are. Equal values always
-    share a slice. Cuts are fixed numbers: a retried task gives the same slices.
+    spread over the slices however skewed the keys are. Beyond ``FAN`` slices,
+    each slice is cut again by a sketch of its own, as often as needed. Equal
+    values always share a slice, NaN is above all numbers, and cuts are fixed
+    numbers: a retried task gives the same slices.
     """
-    wanted = min(math.ceil(n_rows / rows_per_slice), MAX_SLICES)
+    wanted = math.ceil(n_rows / rows_per_slice)
+    fan = min(wanted, FAN)
     cuts: list[float] = []
-    if wanted > 1:
-        steps = [i / wanted for i in range(1, wanted)]
-        cuts = sorted(set(df.approxQuantile(column, steps, 1.0 / (4 * wanted))))
+    if fan > 1:
+        steps = [i / fan for i in range(1, fan)]
+        cuts = sorted(set(df.approxQuantile(column, steps, 1.0 / (4 * fan))))
     if not cuts:
         return df.withColumn(SLICE, F.lit(0.0))
     edges = [-math.inf, *cuts, math.inf]
-    return Bucketizer(splits=edges, inputCol=column, outputCol=SLICE).transform(df)
+    sliced = Bucketizer(splits=edges, inputCol=column, outputCol=SLICE, handleInvalid="keep").transform(df)
+    while wanted > fan:
+        wanted = math.ceil(wanted / fan)
+        fan = min(wanted, FAN)
+        sliced = _cut_again(sliced, column, fan)
+    return sliced
+
+
+def _cut_again(sliced: DataFrame, column: str, fan: int) -> DataFrame:
+    """Each slice cut into up to ``fan`` new ones, in order, by its own sketch; a cut's own value is a slice of its own,
+    so that a very common value does not keep its neighbours together."""
+    steps = F.array(*[F.lit(i / fan) for i in range(1, fan)])
+    cuts = materialize(
+        sliced.groupBy(SLICE).agg(F.array_distinct(F.percentile_approx(column, steps, 4 * fan)).alias("__cuts")), "cuts"
+    ).withColumnRenamed(SLICE, "__whole")
+    joined = sliced.join(F.broadcast(cuts) if fits_broadcast(cuts) else cuts, F.col(SLICE) == F.col("__whole"), "left")
+    count = lambda test: F.coalesce(F.size(F.filter("__cuts", test)), F.lit(0))
+    place = count(lambda cut: cut <= F.col(column)) + count(lambda cut: cut < F.col(column))
+    return joined.withColumn(SLICE, F.col(SLICE) * (2 * fan) + place).drop("__whole", "__cuts")
 
 
 def grouped_quantile(
@@ -164,21 +185,22 @@ def impute_median(
 ) -> DataFrame:
     """Null and NaN replaced by the exact median of the column.
 
-    All columns are handled in one pass over (column, value) pairs. The output
+    Columns of one type are handled in one pass over (column, value) pairs. The output
     keeps the input's type. A column with no value at all gets ``default``.
     """
     source = df if fit_on is None else fit_on
-    pairs = source.select(
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
-            )
-        ).alias("p")
-    ).select("p.column", "p.value")
-    found = {
-        r["column"]: r["median"]
-        for r in grouped_quantile(pairs, ["column"], "value", "median", 0.5, rows_per_slice).collect()
-    }
+    # Whole numbers do not pass through doubles, which hold them up to 2^53 only.
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kind = source.schema[c].dataType
+        exact = isinstance(kind, (T.LongType, T.DecimalType))
+        kinds.setdefault(kind.simpleString() if exact else "double", []).append(c)
+    found = {}
+    for kind, members in kinds.items():
+        pair = lambda c, kind=kind: F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias("value"))
+        pairs = source.select(F.explode(F.array(*[pair(c) for c in members])).alias("p")).select("p.column", "p.value")
+        medians = grouped_quantile(pairs, ["column"], "value", "median", 0.5, rows_per_slice)
+        found |= {r["column"]: r["median"] for r in medians.collect()}
     filled = {}
     for c, out in zip(columns, outputs, strict=True):
         kind = df.schema[c].dataType

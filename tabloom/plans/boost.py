@@ -24,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numeric import at_threshold
-from tabloom.runtime import materialize
+from tabloom.runtime import drop_table, materialize
 
 MISSING_BIN = -1
 HASH_RANGE = 1 << 53
 
+# The share of a class that a fold lacks is taken as this.
+ONE_CLASS = 1e-6
+
 
 def histogram(rows: DataFrame, features: Sequence[int]) -> DataFrame:
     """Sums of ``g`` and ``h`` per node, feature and bin.
@@ -199,6 +202,9 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
             raise ValueError("rounds and eta must be positive")
         binned, cuts = self._bin(dataset)
         center = binned.agg(F.avg("y")).first()[0]
+        if get("objective") == "logistic":
+            # A fold of one class has no finite log odds.
+            center = min(max(center, ONE_CLASS), 1.0 - ONE_CLASS)
         start = center if get("objective") == "squared" else math.log(center / (1.0 - center))
         rows = materialize(binned.withColumn("margin", F.lit(float(start))), "boost-rows")
         trees: list[Tree] = []
@@ -208,7 +214,8 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
             trees.append(tree)
             pending.append(tree)
             if len(pending) == get("writeEvery") and number + 1 < get("rounds"):
-                rows = materialize(rows.withColumn("margin", _margin(pending)), "boost-rows")
+                former, rows = rows, materialize(rows.withColumn("margin", _margin(pending)), "boost-rows")
+                drop_table(former)
                 pending = []
         model = BoostedTreesModel()
         self._copyValues(model)

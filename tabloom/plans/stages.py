@@ -15,15 +15,16 @@ from tabloom.operators.schema import Roles, text_name
 from tabloom.plans import house, passenger
 from tabloom.plans.boost import HistogramBooster
 
-# Columns of the two SQL steps, feature orders and model settings.
+# Columns of the two SQL steps, feature orders and model settings. The SQL texts are values that must
+# match: what the steps compute is given, and they are stated plainly.
 BASE_FEATURES = {
-    "PclassText": "string(Pclass)",
-    "EmbarkedText": "nvl(Embarked, 'missing')",
-    "FamilySize": "double(1 + SibSp + Parch)",
-    "IsAlone": "if(SibSp + Parch = 0, 1D, 0D)",
-    "Title": f"nvl(regexp_extract(Name, r'{TITLE_PATTERN}', 1), 'missing')",
+    "PclassText": "CAST(Pclass AS STRING)",
+    "EmbarkedText": "COALESCE(Embarked, 'missing')",
+    "FamilySize": "CAST(SibSp + Parch + 1 AS DOUBLE)",
+    "IsAlone": "CASE WHEN SibSp + Parch = 0 THEN 1.0D ELSE 0.0D END",
+    "Title": f"COALESCE(regexp_extract(Name, r'{TITLE_PATTERN}', 1), 'missing')",
 }
-DERIVED_FEATURES = {"FarePerPerson": "FareImputed / if(FamilySize <= 0, 1D, FamilySize)"}
+DERIVED_FEATURES = {"FarePerPerson": "FareImputed / CASE WHEN FamilySize <= 0 THEN 1.0D ELSE FamilySize END"}
 BASELINE_IMPUTED = {"Age": "AgeImputed", "Fare": "FareImputed"}
 BASELINE_INDEXED = {
     "Sex": "SexIndexed",

@@ -12,11 +12,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import add
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +49,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tabloom-{app}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete a written intermediate table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, when no result needs them any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "any")).getParent()
@@ -85,16 +97,28 @@ def together(spark: SparkSession, tasks: Sequence[Callable[[], Result]], at_once
         return pool.map(lambda task: task(), [inheritable_thread_target(spark)(t) for t in tasks], chunksize=1)
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory, nested ones included."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, VectorUDT):
+        return F.coalesce(F.size(vector_to_array(value)), F.lit(0)) * 8 + 32
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.AtomicType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+            return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * 16 + 16
+        each = F.transform(value, lambda x: _width(x, kind.elementType).cast("long"))
+        return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)) + 16
+    if isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        return _width(F.map_keys(value), keys) + _width(F.map_values(value), values)
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_width(value.getField(f.name), f.dataType) for f in kind.fields], F.lit(16))
+    return F.lit(16)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Estimated in-memory bytes of a table, from one aggregate over its rows."""
-    width = F.lit(16)
-    for field in df.schema.fields:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 16
-        elif isinstance(field.dataType, T.ArrayType):
-            width = width + F.greatest(F.size(F.col(f"`{field.name}`")), F.lit(0)) * 16 + 16
-        else:
-            width = width + 16
+    width = reduce(add, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
     return df.agg(F.sum(width.cast("long")).alias("bytes")).first()["bytes"] or 0
 
 

@@ -278,15 +278,12 @@ def test_marker_keeps_numbers_numeric(spark, tmp_path):
     assert dict(read_table(spark, str(tmp_path / "a.csv"), null_value="NA").dtypes)["v"] == "double"
 
 
-def test_single_file_replaces_and_large_results_stay_whole(spark, tmp_path):
+def test_single_file_replaces_and_stays_one_file_at_any_size(spark, tmp_path):
     path = tmp_path / "deep" / "out.csv"
-    for n in (3, 5):
-        write_single_csv(spark.range(n).orderBy("id"), str(path))
+    for n in (3, 5, 5000):
+        write_single_csv(spark.range(n).repartition(3).orderBy("id"), str(path))
         assert path.read_text().splitlines() == ["id", *map(str, range(n))]
     assert [p.name for p in path.parent.iterdir() if not p.name.startswith(".")] == ["out.csv"]
-    big = tmp_path / "big.csv"
-    write_single_csv(spark.range(50).repartition(3), str(big), single_file_rows=10)
-    assert big.is_dir() and read_table(spark, str(big)).count() == 50
 
 
 def test_results_table(spark, tmp_path):
