@@ -6,9 +6,9 @@ the number of distinct words of the text that have it, so neither length nor
 repetition of one word inflates a score. The output is the expected severity,
 the sum of P(grade >= k).
 
-The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows,
-those with the smallest hashes of their ids, and at most ``MAX_FEATURES``
-features; scoring covers every row and every whole text, in one pass without a
+The model is fitted from at most ``SAMPLE_ROWS`` labelled rows, those with the
+smallest hashes of their ids, and at most ``MAX_FEATURES`` features. Spark
+counts the sample's features, and the driver fits the telling ones; scoring covers every row and every whole text, in one pass without a
 shuffle. Null and empty texts have no features. Ids that repeat among the
 sampled rows count once. Labels that are null are left out; without labels,
 or with one class, nothing is rejected.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.base import coded, flat, per_row, with_arrow
+from tabloom.runtime import materialize
 
 SAMPLE_ROWS = 8_000
 MAX_FEATURES = 20_000
@@ -72,12 +73,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def severity_grades(toxic: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """Grade 0 for rows that are not toxic; toxic ones are 1 or 2 by the share of their words' features that
-    (nearly) only toxic rows have, below or from its median among toxic rows."""
+def severity_grades(toxic: np.ndarray, lists: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Grade 0 for rows that are not toxic; toxic ones are 1 or 2 by the share of their words' features (``sizes`` of
+    them) that (nearly) only toxic rows have, below or from its median among toxic rows."""
     odds, _ = log_odds(toxic, lists)
     sharp = {f for f, (z, a, b) in odds.items() if z >= MIN_Z and a >= MIN_ROWS and b * 20 <= a}
-    share = np.array([sum(f in sharp for f in x.tolist()) / max(len(x), 1) for x in lists])
+    share = np.array([sum(f in sharp for f in x.tolist()) for x in lists]) / np.maximum(sizes, 1)
     bad = toxic > 0
     middle = np.median(share[bad]) if bad.any() else 0.0
     return np.where(bad, 1 + (share >= middle), 0)
@@ -150,10 +151,30 @@ def fit_severity(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 400,
     return Severity({int(f): float(v) for f, v in zip(order, x[:m]) if v}, [float(c) for c in cuts])
 
 
+def telling_features(rows: DataFrame) -> np.ndarray:
+    """The features of the sample that go into the model, counted by Spark; at most twice ``MAX_FEATURES``."""
+    bad = (F.col("__label") > 0).cast("long")
+    p, q = rows.agg(F.coalesce(F.sum(bad), F.lit(0)), F.coalesce(F.sum(1 - bad), F.lit(0))).first()
+    counts = (
+        rows.select(bad.alias("bad"), F.explode(F.array_distinct("__features")).alias("f")).groupBy("f")
+        .agg(F.sum("bad").alias("a"), F.sum(1 - F.col("bad")).alias("b")).where(F.col("a") + F.col("b") >= MIN_ROWS)
+    )
+    a, b, half = F.col("a"), F.col("b"), F.lit(0.5)
+    logit = F.log((a + half) / (F.lit(p) - a + half)) - F.log((b + half) / (F.lit(q) - b + half))
+    spread = F.sqrt(1 / (a + half) + 1 / (F.lit(p) - a + half) + 1 / (b + half) + 1 / (F.lit(q) - b + half))
+    ranked = counts.withColumn("z", logit / spread)
+    kept = ranked.where((F.col("z") <= -MIN_Z) | ((F.col("z") >= MIN_Z) & (a >= MIN_SHARE * (a + b + 1))))
+    found = kept.orderBy(F.abs("z").desc(), "f").limit(2 * MAX_FEATURES).select("f").collect()
+    return np.array(sorted(r["f"] for r in found), np.int64)
+
+
 def labelled_features(
     docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_rows: int
-) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and features of a bounded sample: the rows whose ids have the smallest hashes."""
+) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a bounded sample, the rows whose ids have the smallest hashes: labels, telling features, numbers of features.
+
+    Features are counted on the executors; the driver gets the telling ones alone.
+    """
     ids = (
         labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label"))
         .where("__id IS NOT NULL AND __label IS NOT NULL")
@@ -170,28 +191,35 @@ def labelled_features(
             ends = np.concatenate([[0], np.cumsum(per_row(rows, len(values)))])
             own = [features_of(w) for w in names.to_pylist()]
             lists = [[f for c in codes[a:b] for f in own[c]] if b - a <= SAMPLE_WORDS else None for a, b in zip(ends, ends[1:])]
-            return [pa.array(lists, pa.list_(pa.int64()))]
+            return [pa.array(lists, pa.list_(pa.int32()))]
 
         return make
 
-    fields = [T.StructField("__features", T.ArrayType(T.LongType()))]
-    rows = (
-        with_arrow(sampled, "__text", fields, prepare, keep=["__id", "__label"])
-        .where("__features IS NOT NULL")
-        .dropDuplicates(["__id"])
-        .orderBy(F.xxhash64("__id"), "__id")
-        .toArrow()
-    )
-    lists = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in rows["__features"]]
-    return np.asarray(rows["__label"].to_numpy(), np.int64), lists
+    fields = [T.StructField("__features", T.ArrayType(T.IntegerType()))]
+    found = with_arrow(sampled, "__text", fields, prepare, keep=["__id", "__label"]).where("__features IS NOT NULL")
+    rows = materialize(found.dropDuplicates(["__id"]), "toxicity-sample")
+    chosen = telling_features(rows)
+
+    def narrow():
+        def make(values: pa.Array) -> list[pa.Array]:
+            lists = [np.asarray(x.values) for x in values]
+            return [pa.array([x[np.isin(x, chosen)] for x in lists], pa.list_(pa.int32())), pa.array([len(x) for x in lists], pa.int64())]
+
+        return make
+
+    fields = [T.StructField("__kept", T.ArrayType(T.IntegerType())), T.StructField("__size", T.LongType())]
+    kept = with_arrow(rows, "__features", fields, narrow, keep=["__id", "__label"])
+    sample = kept.orderBy(F.xxhash64("__id"), "__id").toArrow()
+    lists = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in sample["__kept"]]
+    return np.asarray(sample["__label"].to_numpy(), np.int64), lists, np.asarray(sample["__size"].to_numpy(), np.int64)
 
 
 def train(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
 ) -> Severity:
-    toxic, lists = labelled_features(docs, labels, doc_id, text, label, sample_rows)
-    return fit_severity(lists, severity_grades(toxic, lists))
+    toxic, lists, sizes = labelled_features(docs, labels, doc_id, text, label, sample_rows)
+    return fit_severity(lists, severity_grades(toxic, lists, sizes))
 
 
 SEVERITY = T.StructField("expected_severity", T.DoubleType())
