@@ -17,7 +17,7 @@ from tabloom.plans import experiments as ex
 from tabloom.plans import grids, house, passenger, views
 from tabloom.plans.boost import HistogramBooster, best_splits, histogram
 from tabloom.plans.stages import baseline_stages, boost_stages, house_stages, linear_stages, tree_stages
-from tabloom.runtime import materialize
+from tabloom.runtime import in_fixed_order, materialize
 from tabloom.sources.sinks import classification_output
 
 def small_grids():
@@ -40,7 +40,7 @@ COLUMNS = {"labelCol": passenger.LABEL, "featuresCol": "features"}
 def _predict(spark, sf_dir, stages):
     """Fit on the labelled rows, predict the others."""
     train, test = written_features(spark, sf_dir)
-    scored = stages.fit(train).transform(test)
+    scored = stages.fit(in_fixed_order(train, ex.ID)).transform(test)
     return scored.select("PassengerId", "prediction", prob_at_one(F.col("probability")).alias("p"))
 
 
@@ -62,7 +62,7 @@ def pipe_boost(spark, sf_dir):
 
 def _baseline(spark, sf_dir, stages):
     train, test = views.passenger_sides(spark, sf_dir, dealt=True)
-    scored = stages.fit(train).transform(test)
+    scored = stages.fit(in_fixed_order(train, ex.ID)).transform(test)
     return scored.select("PassengerId", "prediction", prob_at_one(F.col("probability")).alias("p"))
 
 
@@ -100,7 +100,7 @@ def _price(spark, sf_dir, algorithm, **settings):
     """Fit on a holdout's training rows, predict its validation rows."""
     prepared = ex.prepare_houses(views.houses(spark, sf_dir, dealt=True))
     train, validation = holdout(materialize(prepared.train, "houses", spread=True), 42, house.ID)
-    model = house_stages(prepared.roles, algorithm, **settings).fit(train)
+    model = house_stages(prepared.roles, algorithm, **settings).fit(in_fixed_order(train, house.ID))
     return model.transform(validation).select("Id", house.LABEL, "prediction")
 
 

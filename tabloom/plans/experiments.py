@@ -48,7 +48,7 @@ from tabloom.operators.votes import log_blend, soft_vote
 from tabloom.plans import house, passenger
 from tabloom.plans.grids import Candidate, baseline_grid, boost_grid, gbt_grid, lr_grid, rf_grid
 from tabloom.plans.stages import ALGORITHMS, house_stages
-from tabloom.runtime import materialize, together
+from tabloom.runtime import in_fixed_order, materialize, together
 from tabloom.sources.sinks import (
     classification_output,
     regression_output,
@@ -115,7 +115,7 @@ def cv_scores(
 
     def predict(position: int, candidate: Candidate, fold: int) -> DataFrame:
         training, validation = fold_split(folded, fold)
-        scored = with_probability(candidate.stages.fit(training).transform(validation), "probability_one")
+        scored = with_probability(candidate.stages.fit(in_fixed_order(training, id_col)).transform(validation), "probability_one")
         return materialize(
             scored.select(
                 F.lit(position).alias("grid_pos"),
@@ -157,7 +157,7 @@ def select_and_fit(
     train = folded_table(train, folds)
     scores = materialize(cv_summary(cv_scores(train, candidates, folds, at_once=at_once)), "scores")
     best = best_candidate(scores).first()
-    model = candidates[best["grid_pos"]].stages.fit(train.drop(FOLD))
+    model = candidates[best["grid_pos"]].stages.fit(in_fixed_order(train.drop(FOLD), ID))
     return Selected(best["candidate"], best["accuracy"], best["auc"], scores, model, model.transform(test))
 
 
@@ -227,7 +227,7 @@ def variant_cv(
 
     def predict(fold: int) -> DataFrame:
         training, validation = fold_split(folded, fold)
-        scored = with_probability(stages.fit(training).transform(validation))
+        scored = with_probability(stages.fit(in_fixed_order(training, ID)).transform(validation))
         judged = variant_rows(attach_evidence(scored, training, LABEL), [LABEL], variants)
         return materialize(judged.withColumn("fold", F.lit(fold)), "variant-predictions")
 
@@ -253,23 +253,10 @@ def variant_outputs(evidenced: DataFrame, variants: Sequence[RuleVariant] = RULE
 
 
 def disagreement_of(models: Mapping[str, Pipeline], train: DataFrame, test: DataFrame, at_once: int = FITS_AT_ONCE) -> DataFrame:
-    """How independently fitted models disagree on the test rows.
-
-    A model that cannot be fitted is left out; if none can, one row says so.
-    """
-
-    def try_fit(name: str, stages: Pipeline) -> tuple[str, PipelineModel | None]:
-        try:
-            return name, stages.fit(train)
-        except Exception as problem:  # noqa: BLE001 - any failing fit only drops its member
-            print(f"left out {name}: {problem}")
-            return name, None
-
-    fitted = together(train.sparkSession, [partial(try_fit, n, s) for n, s in models.items()], at_once)
-    usable = {name: model for name, model in fitted if model is not None}
-    if not usable:
-        rows = [("no_models", "all diagnostics models failed")]
-        return train.sparkSession.createDataFrame(rows, "status string, message string")
+    """How independently fitted models disagree on the test rows. A fit that fails is raised."""
+    layout = in_fixed_order(train, ID)
+    fitted = together(train.sparkSession, [partial(stages.fit, layout) for stages in models.values()], at_once)
+    usable = dict(zip(models, fitted, strict=True))
     outputs = lambda n: {
         f"pred_{n}": F.col("prediction").cast("int"),
         f"p_{n}": prob_at_one(F.col("probability")),
@@ -296,7 +283,7 @@ def postprocess(
     metrics = materialize(variant_cv(train, base.stages, folds, variants), "variant-scores")
     train = train.drop(FOLD)
     best = best_candidate(metrics).first()["variant"]
-    model = base.stages.fit(train)
+    model = base.stages.fit(in_fixed_order(train, ID))
     scored = attach_evidence(with_probability(model.transform(test)), train, LABEL)
     needed = [c for c in scored.columns if c not in ("rawPrediction", "probability", "features")]
     evidenced = materialize(scored.select(*needed), "evidence")
@@ -386,17 +373,18 @@ def run_experiments(
     grids: Mapping[str, Sequence[Candidate]] | None = None,
     out_dir: str | None = None,
     model_dir: str | None = None,
+    seed: int = 42,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Run experiments on written tables: the score table and the best output.
 
     The raw rows and the feature set are written once, with folds as partitions.
-
-    An experiment of the booster that fails is skipped; any other failure is raised.
+    A failing experiment is raised: a table with a model missing is no result.
+    ``seed`` is that of the default grids.
     """
     if folds < 2:
         raise ValueError("at least 2 folds are needed")
     spark = raw_train.sparkSession
-    grids = default_grids() if grids is None else grids
+    grids = default_grids(seed) if grids is None else grids
     train, test = passenger.passenger_features(raw_train, raw_test)
     train, test, raw_train = together(
         spark,
@@ -410,13 +398,7 @@ def run_experiments(
     rows: list[tuple] = []
     outputs: dict[str, DataFrame] = {}
     for name in names:
-        try:
-            row, outputs[name] = run_experiment(name, raw, enhanced, grids, folds, out_dir, model_dir)
-        except Exception as problem:  # noqa: BLE001 - see above
-            if name not in (BOOST, VOTE):
-                raise
-            print(f"skipped {name}: {problem}")
-            continue
+        row, outputs[name] = run_experiment(name, raw, enhanced, grids, folds, out_dir, model_dir)
         rows.append(row)
     table = write_results(spark, rows, f"{out_dir}/experiments.csv") if out_dir else results_table(spark, rows)
     if not rows:
@@ -463,7 +445,7 @@ def validate_seeds(
     def predict(seed: int) -> DataFrame:
         training, validation = holdout(prepared.train, seed, house.ID, by_partition=by_partition)
         training = filter_training_outliers(training, house.AREA, house.TARGET, enabled=remove_outliers)
-        scored = stages.fit(training).transform(validation)
+        scored = stages.fit(in_fixed_order(training, house.ID)).transform(validation)
         return materialize(scored.select(F.lit(seed).alias("seed"), house.LABEL, "prediction"), "seed-predictions")
 
     parts = together(prepared.train.sparkSession, [partial(predict, s) for s in seeds], at_once)
@@ -552,7 +534,7 @@ def run_regression(
         scored = score_members(models, prepared.test, lambda name: {f"{name}_prediction": F.col("prediction")})
         predicted = log_blend(scored, "lr_prediction", "xgb_prediction", blend_weight)
     else:
-        models = {algorithm: house_stages(prepared.roles, algorithm, **settings).fit(full)}
+        models = {algorithm: house_stages(prepared.roles, algorithm, **settings).fit(in_fixed_order(full, house.ID))}
         predicted = models[algorithm].transform(prepared.test)
     output = regression_output(predicted, house.ID, house.TARGET)
     if model_path:

@@ -83,6 +83,17 @@ def deal(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def in_fixed_order(df: DataFrame, id_col: str) -> DataFrame:
+    """The layout every fit sees: rows dealt by id over a set number of partitions and sorted in each.
+
+    Row sampling of forests goes by partition and place, so a fitted model depends
+    on the layout. The number is ``spark.tabloom.fit.partitions`` (16 by default;
+    more for large tables), never that of the cores or files.
+    """
+    parts = int(df.sparkSession.conf.get("spark.tabloom.fit.partitions", "16"))
+    return df.repartition(parts, F.col(f"`{id_col}`")).sortWithinPartitions(F.col(f"`{id_col}`"))
+
+
 def _write(df: DataFrame, label: str, partition_by: Sequence[str]) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
