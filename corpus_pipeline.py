@@ -54,8 +54,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text's pieces, and whether decoding them gives the text back."""
-    encoded = sentence_pieces.encode(docs, "text", "ids")
-    decoded = sentence_pieces.decode(encoded.withColumn("__ids", F.col("ids")), "__ids", "__decoded")
+    decoded = sentence_pieces.encode_and_decode(docs, "text", "ids", "__decoded")
     return decoded.select(
         "doc_id", "lang", "source", "n_chars", "ids",
         F.size("ids").cast("long").alias("n_tokens"), F.col("__decoded").eqNullSafe(F.col("text")).alias("round_trip"),

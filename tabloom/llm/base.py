@@ -45,6 +45,17 @@ def cut(batch: pa.RecordBatch, column: int, limit: int = CUT_BYTES) -> Iterator[
         start = stop
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` for this session, unless it asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key, "-1") if c in "-0123456789"))
+    if now < 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def with_arrow(
     df: DataFrame, column: str, fields: list[T.StructField], prepare: Callable[[], Columns], limit: int = CUT_BYTES,
     keep: list[str] | None = None,
@@ -54,6 +65,7 @@ def with_arrow(
     ``prepare`` runs once per task and returns that function. A column of ``df``
     with the name of a new field is replaced. ``keep`` limits the columns kept.
     """
+    bounded_batches(df.sparkSession)
     names = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
     source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias("__value"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import bucketed, coded, cut, mixed, per_row, planes, split_words, unplaned
+from tabloom.llm.base import bounded_batches, bucketed, coded, cut, mixed, per_row, planes, split_words, unplaned
 from tabloom.llm.components import components
 from tabloom.runtime import fits_broadcast, materialize
 
@@ -308,6 +308,7 @@ def jaccard_groups(
     block: int = BLOCK_SETS,
 ) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``n_links``, the documents it is linked with."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL")
     table = document_sets(docs, words)
     kinds = table.where("n > 0").groupBy("n", "s1", "s2").agg(

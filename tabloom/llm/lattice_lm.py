@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import coded, cut, per_row, planes, split_words, unplaned
+from tabloom.llm.base import bounded_batches, coded, cut, per_row, planes, split_words, unplaned
 from tabloom.llm.sentence_pieces import MARK, Pieces, common_prefix, load_pieces
 from tabloom.runtime import materialize
 
@@ -221,6 +221,7 @@ TEXTS_EMPTY = pa.table({"place": pa.array([], pa.int64()), "n_tokens": pa.array(
 def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = df.sparkSession
+    bounded_batches(spark)
     held = F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % HELD_OUT == 0, F.lit(False))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), held.alias("held"), F.col(f"`{text}`").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long")), F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()

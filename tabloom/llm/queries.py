@@ -19,8 +19,7 @@ from tabloom.llm.registry import register
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, its ids decoded, and the decoded text held against the document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = sentence_pieces.encode(docs, "text", "ids")
-    decoded = sentence_pieces.decode(encoded, "ids", "decoded", keep=["doc_id", "text"])
+    decoded = sentence_pieces.encode_and_decode(docs)
     return decoded.select(
         "doc_id",
         F.octet_length("decoded").cast("long").alias("n_bytes"),

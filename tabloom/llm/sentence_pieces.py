@@ -140,7 +140,9 @@ MARKED = re.compile(r" *[^ \n]+|\n+| +")
 
 
 # Words whose ids a task keeps for its next batches; beyond that it begins anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
+# Bytes of text encoded at once.
+CUT = 4 << 20
 
 
 def encode_texts(texts: pa.Array, pieces: Pieces, kept: dict[str, list[int]] | None = None) -> pa.Array:
@@ -194,7 +196,28 @@ def encode(
         pieces, kept = Pieces(*parts.value), {}
         return lambda texts: [encode_texts(texts, pieces, kept)]
 
-    return with_arrow(df, text, [field], prepare, keep=keep)
+    return with_arrow(df, text, [field], prepare, CUT, keep)
+
+
+def encode_and_decode(
+    df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``df`` with the ids of ``text`` and the text that these ids decode to, in one pass by one worker per task."""
+    parts = df.sparkSession.sparkContext.broadcast(load_pieces(path).parts())
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+
+    def prepare():
+        pieces, kept = Pieces(*parts.value), {}
+        surface = pa.array(pieces.surface, pa.binary())
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            lists = encode_texts(texts, pieces, kept)
+            return [lists, decode_ids(lists, surface)]
+
+        return make
+
+    return with_arrow(df, text, fields, prepare, CUT, keep)
 
 
 def decode(

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import bucketed, cut, mixed, planes, unplaned
+from tabloom.llm.base import bounded_batches, bucketed, cut, mixed, planes, unplaned
 from tabloom.operators.ordering import position_in_order
 from tabloom.runtime import fits_broadcast, materialize
 
@@ -340,6 +340,7 @@ CUT = [
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of the remaining bytes and, with ``kept``,
     ``kept_text``: the remaining text, where characters that a cut would split stay whole."""
+    bounded_batches(df.sparkSession)
     fields = CUT if kept else CUT[:-1]
     ranked = _ranked(df, doc_id, text)
     docs = ranked.select(F.col("__doc").alias("doc"), F.col("__text").alias("text"))
@@ -352,7 +353,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in cut(batch, n):
+            for piece in cut(batch, n, PARSE_BYTES):
                 rows = []
                 for value, spans in zip(piece.column(n).to_pylist(), piece.column(n + 1).to_pylist()):
                     raw = value.encode()
