@@ -51,8 +51,7 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_BYTES`` for this session, unless it asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int("".join(c for c in spark.conf.get(key, "-1") if c in "-0123456789"))
-    if now < 0 or now > BATCH_BYTES:
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
