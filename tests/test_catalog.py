@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from tabloom import catalog
 from tests.harness import DATA, differences
 
-TWINS = entry.oracle_sql()
+QUERIES, TWINS = catalog.queries(), catalog.oracle_sql()
 # Fits that other tests run at this size already.
 SLOW = {
     "rf_class_baseline", "rf_class_grid", "gbt_class_grid", "lr_class_grid", "boost_class_grid", "gbt_reg", "rf_reg",
@@ -17,12 +18,12 @@ SLOW = {
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_twin(spark, name):
     sf_dir = str(DATA / "sf0.001")
-    assert differences(entry.queries()[name](spark, sf_dir), TWINS[name], sf_dir) == []
+    assert differences(QUERIES[name](spark, sf_dir), TWINS[name], sf_dir) == []
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries().keys() - TWINS.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - TWINS.keys() - SLOW))
 def test_rows(spark, name):
-    assert entry.queries()[name](spark, str(DATA / "sf0.001")).count() > 0
+    assert QUERIES[name](spark, str(DATA / "sf0.001")).count() > 0
 
 
 def test_entry(spark):
@@ -30,4 +31,5 @@ def test_entry(spark):
 
 
 def test_twins_belong_to_queries():
-    assert TWINS.keys() <= entry.queries().keys()
+    assert TWINS.keys() <= QUERIES.keys() <= entry.queries().keys()
+    assert TWINS.items() <= entry.oracle_sql().items()
