@@ -18,9 +18,6 @@ from pyspark.sql import types as T
 
 CUT_BYTES = 8 << 20
 
-# What separates words in the contracts: \x20 and \x09 to \x0D.
-SPACES = b" \t\n\x0b\x0c\r"
-
 Columns = Callable[[pa.Array], list[pa.Array]]
 
 

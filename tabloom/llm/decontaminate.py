@@ -116,7 +116,7 @@ class Automaton:
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """The hit spans (start, end) of a document in order, merged, and the items that occur."""
         step, link, size, short, window = self.step, self.link, self.size, self.short, self.window
-        first, spans, found = step[0], [], set()
+        spans, found = [], set()
         state = length = 0
         for at, word in enumerate(words, 1):
             there = step[state].get(word)
@@ -148,7 +148,6 @@ class Automaton:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, at))
-        del first
         return spans, found
 
 
