@@ -7,6 +7,7 @@ the model. Memory is bounded by ``limit`` bytes of text, or one text if longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +53,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that Arrow and NumPy have freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def tidy(of_group: Callable) -> Callable:
+    """A function of a group that releases memory afterwards."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = of_group(group)
+        release()
+        return out
+
+    return run
+
+
 def with_arrow(
     df: DataFrame, column: str, fields: list[T.StructField], prepare: Callable[[], Columns], limit: int = CUT_BYTES,
     keep: list[str] | None = None,
@@ -73,6 +94,7 @@ def with_arrow(
             for piece in cut(batch, len(kept), limit):
                 new = make(piece.column(len(kept)))
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *new], names=schema.names)
+            release()
 
     return source.mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import bounded_batches, bucketed, coded, cut, mixed, per_row, planes, split_words, unplaned
+from tabloom.llm.base import bounded_batches, bucketed, coded, cut, mixed, per_row, planes, release, split_words, tidy, unplaned
 from tabloom.llm.components import components
 from tabloom.runtime import fits_broadcast, materialize
 
@@ -115,6 +115,7 @@ def _postings(n_buckets: int, words: int):
                 ]
                 kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=POSTINGS.names)
+                release()
 
     return run
 
@@ -154,7 +155,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = max(24, -(-total // BUCKET_BYTES))
     postings = docs.mapInArrow(_postings(n_buckets, words), POSTINGS)
-    owned = postings.groupBy("bucket").applyInArrow(_own_in_bucket, OWN)
+    owned = postings.groupBy("bucket").applyInArrow(tidy(_own_in_bucket), OWN)
     return materialize(owned.groupBy("chunk").applyInArrow(_own_of_docs, DOCS), "sets")
 
 

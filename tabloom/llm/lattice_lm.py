@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import bounded_batches, coded, cut, per_row, planes, split_words, unplaned
+from tabloom.llm.base import bounded_batches, coded, cut, per_row, planes, release, split_words, tidy, unplaned
 from tabloom.llm.sentence_pieces import MARK, Pieces, common_prefix, load_pieces
 from tabloom.runtime import materialize
 
@@ -134,6 +134,7 @@ def _batches(n_buckets: int):
                 out.append(("texts", chunk, -1, None, None, *[planes(x) for x in parts]))
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=BATCHES.names)
+                release()
 
     return run
 
@@ -230,12 +231,12 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     parts = spark.sparkContext.broadcast(load_pieces(path).parts())
     batches = materialize(docs.mapInArrow(_batches(n_buckets), BATCHES), "word-batches", partition_by=("kind",))
     words = batches.where("kind = 'words'").select("chunk", "bucket", "words", "counts")
-    trained = words.groupBy("bucket").applyInArrow(_train(parts), TRAINED)
+    trained = words.groupBy("bucket").applyInArrow(tidy(_train(parts)), TRAINED)
     fits = [F.sum(F.col("fit")[i]) for i in range(len(SCALES))]
     row = trained.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), *fits).first()
     n, v, fit = row[0] + ends, row[1] + (ends > 0), [x if x is not None else 0.0 for x in row[2:]]
     best = max(range(len(SCALES)), key=lambda i: (fit[i], i))
-    scored = words.groupBy("bucket").applyInArrow(_score_words(parts, SCALES[best]), SCORED)
+    scored = words.groupBy("bucket").applyInArrow(tidy(_score_words(parts, SCALES[best])), SCORED)
     texts = batches.where("kind = 'texts'").select("chunk", "ids", "named", "starts", "codes", "times")
     sums = scored.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_score_texts(n, v, ends), TEXTS)
     # A word or an end comes next: the share of ends among both, learned from the training texts.

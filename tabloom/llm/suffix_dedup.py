@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import bounded_batches, bucketed, cut, mixed, planes, unplaned
+from tabloom.llm.base import bounded_batches, bucketed, cut, mixed, planes, release, tidy, unplaned
 from tabloom.operators.ordering import position_in_order
 from tabloom.runtime import fits_broadcast, materialize
 
@@ -176,6 +176,7 @@ def _entries(n_buckets: int):
                 columns = list(zip(*rows)) or [()] * 11
                 arrays = [pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]]
                 yield pa.RecordBatch.from_arrays(arrays, names=ENTRIES.names)
+                release()
 
     return run
 
@@ -239,6 +240,7 @@ def _suffixes(n_buckets: int):
                 columns = list(zip(*rows)) or [()] * 4
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=SUFFIXES.names)
+                release()
 
     return run
 
@@ -286,12 +288,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = max(24, -(-total // BUCKET_BYTES))
     entries = docs.mapInArrow(_entries(n_buckets), ENTRIES)
-    marks = materialize(entries.groupBy("bucket").applyInArrow(_dictionary, MARKS), "marks")
+    marks = materialize(entries.groupBy("bucket").applyInArrow(tidy(_dictionary), MARKS), "marks")
     asked = marks.where("ask").groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "offset")).alias("spans"))
     asked = materialize(asked, "asked")
     texts = docs.join(F.broadcast(asked) if fits_broadcast(asked, BROADCAST) else asked, "doc").select("doc", "text", "spans")
     suffixes = texts.mapInArrow(_suffixes(n_buckets), SUFFIXES)
-    sorted_out = suffixes.groupBy("bucket").applyInArrow(_sort_suffixes, SPANS)
+    sorted_out = suffixes.groupBy("bucket").applyInArrow(tidy(_sort_suffixes), SPANS)
     return marks.where("NOT ask").select("doc", "start", "stop").union(sorted_out)
 
 
@@ -368,5 +370,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
                 kinds = [pa.int64()] * 3 + [pa.string()] * (len(fields) - 3)
                 arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:n], *arrays], names=schema.names)
+                release()
 
     return source.mapInArrow(run, schema)
