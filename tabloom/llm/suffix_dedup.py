@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from tabloom.llm.base import bounded_batches, bucketed, cut, mixed, planes, release, tidy, unplaned
 from tabloom.operators.ordering import position_in_order
-from tabloom.runtime import fits_broadcast, materialize
+from tabloom.runtime import materialize
 
 LENGTH = 100
 TRIGGER = 32
@@ -51,7 +51,6 @@ SEGMENT = 1 << 18
 BUCKET_BYTES = 8 << 20
 PARSE_BYTES = 2 << 20
 SPLIT = 18
-BROADCAST = 32 << 20
 
 # Values of bytes, and powers of an odd base with their inverses modulo 2^64.
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -290,8 +289,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     entries = docs.mapInArrow(_entries(n_buckets), ENTRIES)
     marks = materialize(entries.groupBy("bucket").applyInArrow(tidy(_dictionary), MARKS), "marks")
     asked = marks.where("ask").groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "offset")).alias("spans"))
-    asked = materialize(asked, "asked")
-    texts = docs.join(F.broadcast(asked) if fits_broadcast(asked, BROADCAST) else asked, "doc").select("doc", "text", "spans")
+    # Joined by shuffle at every size, so that the plan does not change as the corpus grows.
+    texts = docs.join(asked, "doc").select("doc", "text", "spans")
     suffixes = texts.mapInArrow(_suffixes(n_buckets), SUFFIXES)
     sorted_out = suffixes.groupBy("bucket").applyInArrow(tidy(_sort_suffixes), SPANS)
     return marks.where("NOT ask").select("doc", "start", "stop").union(sorted_out)
