@@ -6,10 +6,15 @@ above and a strength estimated from the spread among that level's own members
 (by moments of the beta-binomial). The posterior of a host is its counts on top
 of its domain's prior, and so on up; a prior leaves out the member's own labels,
 so that none counts twice. A page is blocked if the upper posterior bound of its host's good share lies
-below ``min_good``: a host goes only on evidence.
+below ``min_good``: a host goes only on evidence. A host without labels has zero
+counts on top of its domain's prior and is held to the same bound, as are
+domains and suffixes without labels; its spread is then that of all levels it is
+taken from, so that an unknown domain is not taken for as well known as its hosts
+are alike.
 
-Only counts are shuffled before the join, combined per task first. The join by
-host is an ordinary equi join, whose hot hosts adaptive execution splits.
+Only counts and the hosts of pages are shuffled before the join, combined per
+task first. The join by host is an ordinary equi join, whose hot hosts adaptive
+execution splits.
 
 A null url, or one without ``://``, has an empty host and path and no labels of
 its own. Null outcomes are no labels. An empty table of outcomes gives the
@@ -121,6 +126,14 @@ def _others(level: str, strength: float) -> Column:
     return (good + F.lit(strength) * F.col(f"{level}_above")) / (n + F.lit(strength))
 
 
+def _variance(level: str, strength: float, above: Column) -> Column:
+    """Posterior variance of the members of a level, ``above`` being that of the level above, by the law of total variance."""
+    total = F.col(f"{level}_n") + F.lit(strength)
+    mean = (F.col(f"{level}_g") + F.lit(strength) * F.col(f"{level}_above")) / total
+    weight = F.lit(strength) / total
+    return (mean * (1 - mean) + total * weight * weight * above) / (total + 1)
+
+
 def _level_strength(members: DataFrame) -> float:
     """Members have ``n``, ``g`` and ``above``, the mean of the level above. One row comes to the driver."""
     spread = F.col("n") * (F.col("g") / F.col("n") - F.col("above")) * (F.col("g") / F.col("n") - F.col("above"))
@@ -130,24 +143,36 @@ def _level_strength(members: DataFrame) -> float:
     return strength_of(row["excess"], row["trials"])
 
 
-def reputations(outcomes: DataFrame, host: str = "host", good: str = "good") -> tuple[DataFrame, Prior]:
-    """Hosts with labels: counts ``n`` and ``g``, prior mean ``above``, posterior ``alpha`` and ``beta``; and the priors."""
-    counts = outcomes.where(F.col(good).isNotNull()).groupBy(F.col(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(good).cast("long")).alias("g")
+def reputations(outcomes: DataFrame, host: str = "host", good: str = "good", asked: DataFrame | None = None) -> tuple[DataFrame, Prior]:
+    """Hosts with labels and hosts of ``asked``: counts ``n`` and ``g``, prior mean ``above``, posterior ``alpha`` and
+    ``beta``; and the priors. Hosts without labels have no part in means and strengths."""
+    labels = outcomes.where(F.col(good).isNotNull()).select(
+        F.col(host).alias("host"), F.lit(1).cast("long").alias("n"), F.col(good).cast("long").alias("g")
     )
+    if asked is not None:
+        none = F.lit(0).cast("long")
+        labels = labels.unionByName(asked.select(F.col(host).alias("host"), none.alias("n"), none.alias("g")))
+    counts = labels.groupBy("host").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     hosts = materialize(counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     totals = F.sum("n").alias("n"), F.sum("g").alias("g")
     row = hosts.agg(*totals).first()
     mean = ((row["g"] or 0) + DEFAULT_GOOD * DEFAULT_STRENGTH) / ((row["n"] or 0) + DEFAULT_STRENGTH)
+    unsure = F.lit(mean * (1 - mean) / ((row["n"] or 0) + DEFAULT_STRENGTH + 1))
     suffixes = hosts.groupBy("suffix").agg(*totals).withColumn("above", F.lit(mean))
     top = _level_strength(suffixes)
     above = suffixes.select("suffix", *[F.col(c).alias(f"suffix_{c}") for c in ("n", "g", "above")])
+    above = above.withColumn("suffix_v", _variance("suffix", top, unsure))
     domains = hosts.groupBy("domain", "suffix").agg(*totals).join(above, "suffix").withColumn("above", _others("suffix", top))
     middle = _level_strength(domains)
-    above = domains.select("domain", *[F.col(c).alias(f"domain_{c}") for c in ("n", "g", "above")])
+    above = domains.select("domain", "suffix_v", *[F.col(c).alias(f"domain_{c}") for c in ("n", "g", "above")])
+    above = above.withColumn("domain_v", _variance("domain", middle, F.col("suffix_v")))
     hosts = hosts.join(above, "domain").withColumn("above", _others("domain", middle))
     low = _level_strength(hosts)
-    alpha, beta = F.col("g") + low * F.col("above"), F.col("n") - F.col("g") + low * (1 - F.col("above"))
+    # Without labels, the strength that gives a beta of mean ``above`` the variance of all levels.
+    own = F.col("above") * (1 - F.col("above"))
+    unseen = own / ((own + F.lit(low) * F.col("domain_v")) / (low + 1)) - 1
+    prior = F.when(F.col("n") > 0, F.lit(low)).otherwise(unseen)
+    alpha, beta = F.col("g") + prior * F.col("above"), F.col("n") - F.col("g") + prior * (1 - F.col("above"))
     return hosts.select("host", "n", "g", "above", alpha.alias("alpha"), beta.alias("beta")), Prior(mean, top, middle, low)
 
 
@@ -163,9 +188,11 @@ def judge_urls(
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; ``outcomes`` has a url and a boolean per labelled page.
 
-    Columns of those names are replaced. A host without labels has no evidence of its own and is allowed.
+    Columns of those names are replaced. A host without labels is judged by its domain's prior, or that of the level above.
     """
-    hosts, _ = reputations(outcomes.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{good}`").alias("good")), "host", "good")
+    asked = pages.select(host_of(F.col(f"`{url}`")).alias("host"))
+    labels = outcomes.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{good}`").alias("good"))
+    hosts, _ = reputations(labels, "host", "good", asked)
     blocked = hosts.where(upper_bound(F.col("alpha"), F.col("beta"), z) < min_good).select(F.col("host").alias("__host"))
     base = pages.withColumn("__url", F.col(f"`{url}`")).drop("host", "path", "rule", "verdict")
     base = base.withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url"))).drop("__url")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.llm import url_reputation as ur
 
@@ -42,6 +43,24 @@ def test_shrinking_takes_the_level_above(spark):
     assert mean["h1.spam.org"] < mean["new.spam.org"] < 0.6
 
 
+def test_a_host_without_labels_is_judged_by_the_levels_above(spark):
+    outcomes = [(f"http://h{i}.spam.org/", False) for i in range(30) for _ in range(20)]
+    outcomes += [(f"http://h{i}.d{j}.org/", True) for i in range(5) for j in range(20) for _ in range(20)]
+    outcomes += [(f"http://h{i}.d{j}.bad/", False) for i in range(5) for j in range(20) for _ in range(20)]
+    urls = ["http://new.spam.org/x", "http://new.d1.org/x", "http://h1.spam.org/x", "http://a.new.org/x", "http://a.new.bad/x",
+            "http://a.new.other/x", None]
+    got = judged(spark, urls, outcomes)
+    assert [got[i]["verdict"] for i in range(7)] == ["block", "allow", "block", "allow", "block", "allow", "allow"]
+    table = spark.createDataFrame(outcomes, "url string, good boolean").select(ur.host_of(F.col("url")).alias("host"), "good")
+    asked = spark.createDataFrame([("new.spam.org",), ("h1.spam.org",)], "host string")
+    alone, before = ur.reputations(table)
+    wide, after = ur.reputations(table, asked=asked)
+    assert after.mean == before.mean and (after.suffix, after.domain, after.host) == pytest.approx((before.suffix, before.domain, before.host))
+    new = wide.where("host = 'new.spam.org'").first()
+    assert wide.count() == alone.count() + 1 and (new["n"], new["g"]) == (0, 0)
+    assert new["alpha"] / (new["alpha"] + new["beta"]) == pytest.approx(new["above"]) and new["above"] < 0.1
+
+
 @pytest.mark.parametrize("excess, trials, want", [(None, None, 2.0), (-5.0, 100, 1000.0), (50.0, 100, 1.0), (10.0, 110, 10.0)])
 def test_strength(excess, trials, want):
     assert ur.strength_of(excess, trials) == pytest.approx(want)
