@@ -1,6 +1,12 @@
-"""Licence scan: units of a text against licence templates by the Dice coefficient of word bigrams.
+"""Licence scan: a text against licence templates by the Dice coefficient of word bigrams.
 
-Units are the lines, the paragraphs (between blank lines) and the whole text.
+With ``windows``, every run of words of the text counts, over line ends too. The
+best run for a template starts and ends with a bigram of it that the run has
+once, so only those are looked at, in texts with enough of the template's
+bigrams, and each only as far as the template's size allows. A text of n words
+takes at most n steps per template bigram.
+
+Else units count. Units are the lines, the paragraphs (between blank lines) and the whole text.
 A unit matches a template if 2 |A and B| / (|A| + |B|) over the sets of word
 bigrams reaches ``MIN_DICE``. That needs |A| between d / (2 - d) and (2 - d) / d
 of |B|, so most templates fall out by the size of a unit alone, and units with
@@ -10,8 +16,8 @@ no part.
 
 Null and empty texts, and units with fewer than two words, match nothing. Equal
 values of two templates are settled by name. Repeated rows are judged alike. A
-text is scanned whole. A licence inside a line or paragraph of other words is
-found only as far as the unit as a whole is like the template.
+text is scanned whole. Without ``windows``, a licence inside a line or paragraph
+of other words is found only as far as the unit as a whole is like the template.
 """
 
 from __future__ import annotations
@@ -87,6 +93,40 @@ def normal_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(full), rows[full.to_numpy(zero_copy_only=False)]
 
 
+def neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the value's occurrences before (or -1) and after (or the end) each one."""
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    before, after = np.full(len(values), -1), np.full(len(values), len(values))
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    return before, after
+
+
+def best_run(before: np.ndarray, after: np.ndarray, hits: np.ndarray, size: int, least: float) -> float:
+    """The largest dice of a run of bigrams against a template of ``size`` bigrams, at positions ``hits``; 0 if below ``least``."""
+    mine = np.zeros(len(before), bool)
+    mine[hits] = True
+    need, most = int(np.ceil(size * least / (2 - least) - 1e-9)), size * (2 - least) / least + 1e-9
+    # A run from a hit has ``need`` hits at least, and all bigrams up to there that the text has for the first time.
+    fresh = np.concatenate([[0], np.cumsum(before < 0)])
+    start, end = hits[: len(hits) - need + 1], hits[need - 1 :]
+    best = 0.0
+    for left in start[fresh[end + 1] - fresh[start] <= most].tolist():
+        step = int(2 * most) + 1
+        while True:
+            stop = min(left + step, int(after[left]))
+            new = before[left:stop] < left
+            total = np.cumsum(new)
+            if stop == after[left] or total[-1] > most:
+                break
+            step *= 2
+        shared = np.cumsum(new & mine[left:stop])
+        best = max(best, float((2.0 * shared / (total + size)).max()))
+        if best == 1.0:
+            break
+    return best if best >= least else 0.0
+
+
 class Templates:
     """The templates' bigrams, by name in order, ready for many units."""
 
@@ -105,6 +145,43 @@ class Templates:
         self.has = np.zeros((len(self.bigrams), len(self.names)), bool)
         self.has[at, kinds[1]] = True
 
+    def _hits(self, codes: np.ndarray, names: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of template bigrams (of their first words), and which bigrams they are."""
+        known = np.array([self.words.get(w, -1) for w in names.to_pylist()], np.int64)[codes]
+        at = np.flatnonzero((rows[1:] == rows[:-1]) & (known[1:] >= 0) & (known[:-1] >= 0))
+        pairs = known[at] * self.base + known[at + 1]
+        place = np.searchsorted(self.bigrams, pairs)
+        hit = (place < len(self.bigrams)) & (self.bigrams[np.minimum(place, len(self.bigrams) - 1)] == pairs)
+        return at[hit], place[hit]
+
+    def windows(self, texts: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, template, dice) of the best run of words for every template that matches."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        words, rows = normal_words(texts)
+        if len(words) < 2:
+            return none
+        codes, names = coded(words)
+        at, place = self._hits(codes, names, rows)
+        if not len(at):
+            return none
+        kinds = np.unique(rows[at] * np.int64(len(self.bigrams)) + place)
+        of, bigram = kinds // len(self.bigrams), kinds % len(self.bigrams)
+        chosen, first = np.unique(of, return_index=True)
+        shared = np.add.reduceat(self.has[bigram].astype(np.int64), first, axis=0)
+        enough = shared >= self.sizes[None, :] * least / (2 - least) - 1e-9
+        found = []
+        for i in np.flatnonzero(enough.any(axis=1)).tolist():
+            begin, end = np.searchsorted(rows, chosen[i]), np.searchsorted(rows, chosen[i], side="right")
+            own = codes[begin:end].astype(np.int64)
+            before, after = neighbours(own[:-1] * (len(names) + 1) + own[1:])
+            low, high = np.searchsorted(at, (begin, end))
+            for template in np.flatnonzero(enough[i]).tolist():
+                hits = at[low:high][self.has[place[low:high], template]] - begin
+                dice = best_run(before, after, hits, int(self.sizes[template]), least)
+                if dice >= least:
+                    found.append((chosen[i], template, dice))
+        return tuple(np.array(x) for x in zip(*found)) if found else none
+
     def match(self, units: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, template, dice) of every match."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -113,14 +190,9 @@ class Templates:
             return none
         low, high = self.sizes.min() * least / (2 - least), self.sizes.max() * (2 - least) / least
         codes, names = coded(words)
-        known = np.array([self.words.get(w, -1) for w in names.to_pylist()], np.int64)[codes]
-        inside = (rows[1:] == rows[:-1]) & (known[1:] >= 0) & (known[:-1] >= 0)
-        at = np.flatnonzero(inside)
-        pairs = known[at] * self.base + known[at + 1]
-        place = np.searchsorted(self.bigrams, pairs)
-        hit = (place < len(self.bigrams)) & (self.bigrams[np.minimum(place, len(self.bigrams) - 1)] == pairs)
+        at, place = self._hits(codes, names, rows)
         # Distinct template bigrams of each unit, and the units that have enough of them for the smallest template.
-        kinds = np.unique(rows[at[hit] + 1] * np.int64(len(self.bigrams)) + place[hit])
+        kinds = np.unique(rows[at] * np.int64(len(self.bigrams)) + place)
         of, bigram = kinds // len(self.bigrams), kinds % len(self.bigrams)
         units_hit, first, found = np.unique(of, return_index=True, return_counts=True)
         enough = found >= low
@@ -153,11 +225,17 @@ FIELDS = [
 ]
 
 
-def scan_texts(texts: pa.Array, templates: Templates, least: float) -> list[pa.Array]:
+def scan_texts(texts: pa.Array, templates: Templates, least: float, windows: bool = False) -> list[pa.Array]:
     n, texts = len(texts), pc.fill_null(texts, "")
     rows, kinds, values = [], [], []
     n_lines = np.zeros(n, np.int64)
-    for pattern in ("\n", r"\n[ \t\r]*\n", None):
+    if windows:
+        row, kind, dice = templates.windows(texts, least)
+        rows.append(row)
+        kinds.append(kind)
+        values.append(dice)
+    # All units are runs of words, so beside windows only lines are looked at, for their number.
+    for pattern in ("\n",) if windows else ("\n", r"\n[ \t\r]*\n", None):
         units, of = (texts, np.arange(n)) if pattern is None else flat(
             pc.split_pattern(texts, pattern) if pattern == "\n" else pc.split_pattern_regex(texts, pattern)
         )
@@ -186,14 +264,14 @@ def scan_texts(texts: pa.Array, templates: Templates, least: float) -> list[pa.A
 
 def scan(
     df: DataFrame, text: str = "text", templates: dict[str, str] | None = None, min_dice: float = MIN_DICE,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, windows: bool = False,
 ) -> DataFrame:
     """``df`` with the best ``license`` and its ``dice`` (null if none), all matching ``licenses`` by name, and the
-    number of matching lines. No shuffle."""
+    number of matching lines. ``windows``: over all runs of words, not units only. No shuffle."""
     texts = dict(TEMPLATES if templates is None else templates)
 
     def prepare():
         own = Templates(texts)
-        return lambda values: scan_texts(values, own, min_dice)
+        return lambda values: scan_texts(values, own, min_dice, windows)
 
     return with_arrow(df, text, FIELDS, prepare, keep=keep)

@@ -122,6 +122,6 @@ def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_license_scan", twins.LICENSES)
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences that the lines, paragraphs or whole of every document are like."""
-    found = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """Licences that a run of words of every document is like, over line ends too."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"], windows=True)
     return found.select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"), "n_lines")
