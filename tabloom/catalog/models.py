@@ -1,12 +1,13 @@
 """Fits. Their exact output is no SQL matter, so most have no twin.
 
-The data are always whole. Baselines, forests of the regression and seeds have their real sizes; the other
-grids and the booster are cut to sizes that a check run can bear (the README lists them).
+The data are always whole, and so are grids, folds, rounds and seeds: they are the library's own (the README
+says how long they take, as far as measured).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from functools import partial
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -15,27 +16,13 @@ from tabloom.catalog.base import fold_sql, from_houses, from_passengers, registe
 from tabloom.functions.numeric import prob_at_one
 from tabloom.operators.folds import holdout, with_folds
 from tabloom.plans import experiments as ex
-from tabloom.plans import grids, house, passenger, views
-from tabloom.plans.boost import HistogramBooster, best_splits, histogram
-from tabloom.plans.stages import baseline_stages, boost_stages, house_stages, linear_stages, tree_stages
-from tabloom.runtime import in_fixed_order, materialize
+from tabloom.plans import grids, house, views
+from tabloom.plans.boost import best_splits, histogram
+from tabloom.plans.stages import baseline_stages, house_stages
+from tabloom.runtime import in_fixed_order, materialize, together
 from tabloom.sources.sinks import classification_output
 
-def small_grids():
-    """Candidates of moderate size. Stages live in the session, so they are made per call."""
-    return {
-        ex.BASELINE: [grids.Candidate("baseline_rf_20_depth_5", baseline_stages(42, 20, 5))],
-        ex.FOREST: [
-            grids.Candidate("rf_20_depth_5", grids.forest(42, 20, 5, 1, 0.8)),
-            grids.Candidate("rf_20_depth_7", grids.forest(42, 20, 7, 1, 0.8)),
-        ],
-        ex.GBT: [grids.Candidate("gbt_8_depth_2", grids.boosted_mllib(42, 8, 2, 0.1))],
-        ex.LINEAR: [grids.Candidate("lr_0.01_0.5", grids.logistic(0.01, 0.5))],
-        ex.BOOST: [grids.Candidate("xgb_6_depth_2", grids.boosted(42, 2, 0.3, 6))],
-    }
-
-
-COLUMNS = {"labelCol": passenger.LABEL, "featuresCol": "features"}
+FOLDS, SEEDS = 5, (42, 1337, 2026)
 
 
 def _predict(spark, sf_dir, stages):
@@ -45,20 +32,33 @@ def _predict(spark, sf_dir, stages):
     return scored.select("PassengerId", "prediction", prob_at_one(F.col("probability")).alias("p"))
 
 
+def _predict_all(spark, sf_dir, candidates):
+    """Every candidate of a grid, fitted on the labelled rows; its predictions of the others."""
+    train, test = written_features(spark, sf_dir)
+    layout = in_fixed_order(train, ex.ID)
+
+    def predict(position, candidate):
+        scored = candidate.stages.fit(layout).transform(test)
+        named = F.lit(position).alias("grid_pos"), F.lit(candidate.name).alias("candidate")
+        return scored.select(*named, "PassengerId", "prediction", prob_at_one(F.col("probability")).alias("p"))
+
+    fits = [partial(predict, i, c) for i, c in enumerate(candidates)]
+    return ex.union_all(together(spark, fits, ex.FITS_AT_ONCE))
+
+
 @register("pipe_tree")
 def pipe_tree(spark, sf_dir):
-    return _predict(spark, sf_dir, tree_stages(RandomForestClassifier(numTrees=10, seed=42, **COLUMNS)))
+    return _predict(spark, sf_dir, grids.rf_grid()[0].stages)
 
 
 @register("pipe_linear")
 def pipe_linear(spark, sf_dir):
-    return _predict(spark, sf_dir, linear_stages(LogisticRegression(maxIter=20, regParam=0.1, **COLUMNS)))
+    return _predict(spark, sf_dir, grids.lr_grid()[0].stages)
 
 
 @register("pipe_boost")
 def pipe_boost(spark, sf_dir):
-    booster = HistogramBooster(objective="logistic", idCol="PassengerId", rounds=4, maxDepth=3, **COLUMNS)
-    return _predict(spark, sf_dir, boost_stages(booster))
+    return _predict(spark, sf_dir, grids.boost_grid()[0].stages)
 
 
 def _baseline(spark, sf_dir, stages):
@@ -79,22 +79,22 @@ def rf_class_baseline(spark, sf_dir):
 
 @register("rf_class_grid")
 def rf_class_grid(spark, sf_dir):
-    return _predict(spark, sf_dir, grids.rf_grid()[0].stages)
+    return _predict_all(spark, sf_dir, grids.rf_grid())
 
 
 @register("gbt_class_grid")
 def gbt_class_grid(spark, sf_dir):
-    return _predict(spark, sf_dir, grids.boosted_mllib(42, 20, 3, 0.1))
+    return _predict_all(spark, sf_dir, grids.gbt_grid())
 
 
 @register("lr_class_grid")
 def lr_class_grid(spark, sf_dir):
-    return _predict(spark, sf_dir, grids.lr_grid()[0].stages)
+    return _predict_all(spark, sf_dir, grids.lr_grid())
 
 
 @register("boost_class_grid")
 def boost_class_grid(spark, sf_dir):
-    return _predict(spark, sf_dir, grids.boosted(42, 3, 0.3, 8))
+    return _predict_all(spark, sf_dir, grids.boost_grid())
 
 
 def _price(spark, sf_dir, algorithm, **settings):
@@ -122,12 +122,12 @@ def rf_reg(spark, sf_dir):
 
 @register("gbt_reg")
 def gbt_reg(spark, sf_dir):
-    return _price(spark, sf_dir, "gbt", iterations=15, depth=4)
+    return _price(spark, sf_dir, "gbt")
 
 
 @register("boost_reg")
 def boost_reg(spark, sf_dir):
-    return _price(spark, sf_dir, "xgb", rounds=10, eta=0.3, depth=3)
+    return _price(spark, sf_dir, "xgb")
 
 
 @register(
@@ -206,13 +206,13 @@ def hash_fold(spark, sf_dir):
 @register("cv_score")
 def cv_score(spark, sf_dir):
     train, _ = written_features(spark, sf_dir)
-    return ex.cv_scores(train, small_grids()[ex.LINEAR], 5)
+    return ex.cv_scores(train, grids.lr_grid(), FOLDS)
 
 
 @register("grid_select_fit")
 def grid_select_fit(spark, sf_dir):
     train, test = written_features(spark, sf_dir)
-    chosen = ex.select_and_fit(train, test, small_grids()[ex.FOREST], 2)
+    chosen = ex.select_and_fit(train, test, grids.rf_grid(), FOLDS)
     return classification_output(chosen.predictions, ex.ID, ex.LABEL).withColumn("candidate", F.lit(chosen.candidate))
 
 
@@ -226,38 +226,39 @@ def random_holdout(spark, sf_dir):
 @register("multi_seed_validation")
 def multi_seed_validation(spark, sf_dir):
     prepared = ex.prepare_houses(views.houses(spark, sf_dir, dealt=True))
-    return ex.validate_seeds(prepared, "lr", (42, 1337, 2026))
+    return ex.validate_seeds(prepared, "lr", SEEDS)
 
 
 @register("soft_vote_cv")
 def soft_vote_cv(spark, sf_dir):
     train, test = written_features(spark, sf_dir)
-    members = {"rf": small_grids()[ex.FOREST][0].stages, "gbt": small_grids()[ex.GBT][0].stages}
-    scores, _, _ = ex.soft_vote_cv(train, test, members, 2)
+    members = {m: ex.default_grids()[m][0].stages for m in ex.VOTE_MEMBERS}
+    scores, _, _ = ex.soft_vote_cv(train, test, members, FOLDS)
     return scores
 
 
 @register("blend_validation")
 def blend_validation(spark, sf_dir):
     prepared = ex.prepare_houses(views.houses(spark, sf_dir, dealt=True))
-    return ex.blend_summary(ex.blend_validate(prepared, (42, 1337), rounds=6, eta=0.3, depth=3, iterations=30))
+    return ex.blend_summary(ex.blend_validate(prepared, SEEDS))
 
 
 @register("experiment_table")
 def experiment_table(spark, sf_dir):
     raw = views.passenger_sides(spark, sf_dir, dealt=True)
-    table, _ = ex.run_experiments(*raw, names=(ex.BASELINE, ex.FOREST, ex.LINEAR), folds=2, grids=small_grids())
+    table, _ = ex.run_experiments(*raw, folds=FOLDS)
     return table.drop("model_path", "submission_path")
 
 
 @register("variant_cv")
 def variant_cv(spark, sf_dir):
     train, _ = written_features(spark, sf_dir)
-    return ex.variant_cv(train, small_grids()[ex.FOREST][0].stages, 2)
+    return ex.variant_cv(train, grids.rf_grid()[0].stages, FOLDS)
 
 
 @register("postprocess_run")
 def postprocess_run(spark, sf_dir):
     train, test = written_features(spark, sf_dir)
-    others = {"rf": small_grids()[ex.FOREST][0].stages, "lr": small_grids()[ex.LINEAR][0].stages}
-    return ex.postprocess(train, test, small_grids()[ex.FOREST][0], others, 2).diagnostics
+    models = zip(ex.DISAGREEMENT_MODELS, (ex.FOREST, ex.GBT, ex.LINEAR, ex.BOOST), strict=True)
+    others = {short: ex.default_grids()[long][0].stages for short, long in models}
+    return ex.postprocess(train, test, grids.rf_grid()[0], others, FOLDS).diagnostics
