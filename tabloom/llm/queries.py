@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, jaccard_join, lattice_lm, license_scan, line_rules, sentence_pieces, suffix_dedup, toxicity, twins, url_reputation, warc
+from tabloom.llm import decontaminate, jaccard_join, lattice_lm, license_scan, line_rules, sentence_pieces, source_audit, suffix_dedup, toxicity, twins, url_reputation, warc
 from tabloom.llm.base import table
 from tabloom.llm.registry import register
 
@@ -125,3 +125,9 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that a run of words of every document is like, over line ends too."""
     found = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"], windows=True)
     return found.select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"), "n_lines")
+
+
+@register("op13_source_audit", twins.SOURCE_AUDIT)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source's term shares lie from the other sources of its language, and its foremost terms."""
+    return source_audit.audit(table(spark, sf_dir, "documents"))

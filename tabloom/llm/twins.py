@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import license_scan, line_rules, url_reputation
+from tabloom.llm import license_scan, line_rules, source_audit, url_reputation
 
 SPACE = r"[\x20\x09-\x0D]"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -158,3 +158,29 @@ s AS (
 SELECT doc_id, license, CAST(dice AS DOUBLE) AS dice, coalesce(licenses, '') AS licenses, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
 FROM t LEFT JOIN s USING (r)
 """
+
+
+SOURCE_AUDIT = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {source_audit.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(any_value(t.total), 0)::HUGEINT AS total, coalesce(any_value(v.v), 0)::HUGEINT AS v
+  FROM d LEFT JOIN t USING (lang, source) LEFT JOIN v ON v.lang = d.lang GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) AS p,
+    1 + 1000000000 * (k.n + 2) // (v.total + 2 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o
+WHERE part = 'pair' OR rank <= {source_audit.TOP_TERMS}
+"""
