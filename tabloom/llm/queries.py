@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, jaccard_join, lattice_lm, license_scan, line_rules, sentence_pieces, source_audit, suffix_dedup, toxicity, twins, url_reputation, warc
+from tabloom.llm import byte_pairs, decontaminate, jaccard_join, lattice_lm, license_scan, line_rules, sentence_pieces, source_audit, spelling, suffix_dedup, toxicity, twins, url_reputation, warc
 from tabloom.llm.base import table
 from tabloom.llm.registry import register
 
@@ -131,3 +131,22 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far every source's term shares lie from the other sources of its language, and its foremost terms."""
     return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op12_spelling_groups")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, the form it is a variant of, and the root of its chain of forms."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op11_byte_pairs")
+def byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every document, and the digest of the text that they give back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = byte_pairs.encode_and_decode(docs, keep=["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
