@@ -28,6 +28,12 @@ def fold_split(df: DataFrame, fold: int, column: str = FOLD) -> tuple[DataFrame,
     return df.where(F.col(column) != fold).drop(column), df.where(F.col(column) == fold).drop(column)
 
 
+def holdout_choice(seed: int, id_col: str, train_fraction: float = 0.8) -> Column:
+    """Whether a row trains under a seed."""
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(HASH_RANGE))
+    return place < F.lit(int(train_fraction * HASH_RANGE))
+
+
 def holdout(
     df: DataFrame, seed: int, id_col: str, train_fraction: float = 0.8, by_partition: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +46,5 @@ def holdout(
     if by_partition:
         train, rest = df.randomSplit([train_fraction, 1.0 - train_fraction], seed)
         return train, rest
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(HASH_RANGE))
-    inside = place < F.lit(int(train_fraction * HASH_RANGE))
+    inside = holdout_choice(seed, id_col, train_fraction)
     return df.where(inside), df.where(~inside)

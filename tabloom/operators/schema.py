@@ -122,9 +122,12 @@ def filter_training_outliers(
     enabled: bool = True,
 ) -> DataFrame:
     """Drop rows which are both large and cheap. Rows with a null stay."""
-    if not enabled or not {area, target} <= set(df.columns):
-        return df
+    return df.where(not_outlier(df, area, target, area_limit, price_floor)) if enabled else df
+
+
+def not_outlier(df: DataFrame, area: str, target: str, area_limit: float = 4000.0, price_floor: float = 300000.0) -> Column:
+    """Whether a row is not both large and cheap; true with a null, or in a table without these columns."""
+    if not {area, target} <= set(df.columns):
+        return F.lit(True)
     size, price = as_double(area), as_double(target)
-    return df.where(
-        (size < area_limit) | (price >= price_floor) | F.col(f"`{area}`").isNull() | F.col(f"`{target}`").isNull()
-    )
+    return (size < area_limit) | (price >= price_floor) | F.col(f"`{area}`").isNull() | F.col(f"`{target}`").isNull()

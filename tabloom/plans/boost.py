@@ -1,21 +1,20 @@
-"""Second-order boosted trees (Chen & Guestrin 2016) as Spark aggregations.
+"""Boosted trees (second order after Chen & Guestrin 2016, or first-order residuals) and forests as Spark estimators.
 
-Features are cut into bins once. Each tree level is one job: gradient sums per
-(node, feature, bin), combined on the map side, and the best split per node and
-feature. Only those splits reach the driver: their number is that of the model,
-not of the data.
+They grow by the level jobs of ``levels``; a model is arrays of trees, scored in
+batches. ``histogram`` and ``best_splits`` are the same step in SQL, for tables
+whose bins are columns.
 """
 
 from __future__ import annotations
 
-import json
 import math
-import random
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
@@ -24,13 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numeric import at_threshold
-from tabloom.runtime import drop_table, materialize
-
-MISSING_BIN = -1
-HASH_RANGE = 1 << 53
-
-# The share of a class that a fold lacks is taken as this.
-ONE_CLASS = 1e-6
+from tabloom.plans.encoded import Views, encode_views
+from tabloom.plans.levels import LOG_RESIDUAL, LOGISTIC, RESIDUAL, SQUARED, Chain, Forest
+from tabloom.plans.trees import Trees, as_dicts, bins_of, from_dicts
 
 
 def histogram(rows: DataFrame, features: Sequence[int]) -> DataFrame:
@@ -103,67 +98,32 @@ def best_splits(sums: DataFrame, reg_lambda: float = 1.0, min_child_weight: floa
     return splits.groupBy("node").agg(F.max_by(details, rank).alias("s")).select("node", "s.*")
 
 
-def leaf_weight(g: float, h: float, reg_lambda: float) -> float:
-    return -g / (h + reg_lambda)
-
-
-# A tree is nested dicts: {"leaf": weight} or a split with "left" and "right".
-Tree = dict
-
-
-def render(tree: Tree, goes_left: Callable[[Tree], str], leaf: Callable[[Tree], str]) -> str:
-    """A tree as one SQL expression."""
-    if "leaf" in tree:
-        return leaf(tree)
-    left, right = (render(tree[side], goes_left, leaf) for side in ("left", "right"))
-    return f"CASE WHEN {goes_left(tree)} THEN {left} ELSE {right} END"
-
-
-def _weight(tree: Tree) -> str:
-    return f"({tree['leaf']!r}D)"
-
-
-def _by_bin(tree: Tree) -> str:
-    at = f"bins[{tree['feature']}]"
-    return f"{at} <= {tree['bin']}" if tree["missing_left"] else f"{at} BETWEEN 0 AND {tree['bin']}"
+OBJECTIVES = (SQUARED, LOGISTIC, RESIDUAL, LOG_RESIDUAL)
 
 
-def _by_value(tree: Tree) -> str:
-    at = f"__x[{tree['feature']}]"
-    if tree["cut"] is None:
-        return f"NOT isnan({at})"
-    below = f"{at} < ({tree['cut']!r}D)"
-    return f"({below} OR isnan({at}))" if tree["missing_left"] else below
-
-
-def _total(terms: Sequence[str]) -> str:
-    """A sum as a balanced expression, so that many trees do not nest deeply."""
-    if len(terms) == 1:
-        return terms[0]
-    half = len(terms) // 2
-    return f"({_total(terms[:half])} + {_total(terms[half:])})"
-
-
-class _BoostParams(HasFeaturesCol, HasLabelCol):
-    objective = Param(Params._dummy(), "objective", "squared or logistic", TypeConverters.toString)
+class _TreeParams(HasFeaturesCol, HasLabelCol):
     predictionCol = Param(Params._dummy(), "predictionCol", "prediction column", TypeConverters.toString)
     idCol = Param(Params._dummy(), "idCol", "row id for row sampling; '' hashes the features", TypeConverters.toString)
+    maxDepth = Param(Params._dummy(), "maxDepth", "levels of splits", TypeConverters.toInt)
+    maxBins = Param(Params._dummy(), "maxBins", "bins per feature", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the samples", TypeConverters.toInt)
+
+
+class _BoostParams(_TreeParams):
+    objective = Param(Params._dummy(), "objective", "squared, logistic, residual or log_residual", TypeConverters.toString)
     rounds = Param(Params._dummy(), "rounds", "number of trees", TypeConverters.toInt)
     eta = Param(Params._dummy(), "eta", "shrinkage of each tree", TypeConverters.toFloat)
-    maxDepth = Param(Params._dummy(), "maxDepth", "levels of splits", TypeConverters.toInt)
     minChildWeight = Param(Params._dummy(), "minChildWeight", "least hessian sum of a side", TypeConverters.toFloat)
     regLambda = Param(Params._dummy(), "regLambda", "L2 term of leaf weights", TypeConverters.toFloat)
     rowSample = Param(Params._dummy(), "rowSample", "share of rows per tree", TypeConverters.toFloat)
     columnSample = Param(Params._dummy(), "columnSample", "share of features per tree", TypeConverters.toFloat)
-    maxBins = Param(Params._dummy(), "maxBins", "bins per feature", TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "seed of the samples", TypeConverters.toInt)
     writeEvery = Param(Params._dummy(), "writeEvery", "rounds between written margins", TypeConverters.toInt)
 
     def _defaults(self) -> None:
         self._setDefault(
             objective="squared", featuresCol="features", labelCol="label", predictionCol="prediction", idCol="",
             rounds=100, eta=0.3, maxDepth=6, minChildWeight=1.0, regLambda=1.0, rowSample=1.0, columnSample=1.0,
-            maxBins=256, seed=42, writeEvery=10,
+            maxBins=256, seed=42, writeEvery=40,
         )
 
 
@@ -194,128 +154,76 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
         self._defaults()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def _fit(self, dataset: DataFrame) -> BoostedTreesModel:
-        get = lambda name: self.getOrDefault(name)
-        if get("objective") not in ("squared", "logistic"):
-            raise ValueError("the objective is 'squared' or 'logistic'")
+    def chain(self, view: int = 0) -> Chain:
+        """What the level jobs grow for this booster."""
+        get = self.getOrDefault
+        if get("objective") not in OBJECTIVES:
+            raise ValueError(f"the objective is one of {OBJECTIVES}")
         if get("rounds") <= 0 or get("eta") <= 0:
             raise ValueError("rounds and eta must be positive")
-        binned, cuts = self._bin(dataset)
-        center = binned.agg(F.avg("y")).first()[0]
-        if get("objective") == "logistic":
-            # A fold of one class has no finite log odds.
-            center = min(max(center, ONE_CLASS), 1.0 - ONE_CLASS)
-        start = center if get("objective") == "squared" else math.log(center / (1.0 - center))
-        rows = materialize(binned.withColumn("margin", F.lit(float(start))), "boost-rows")
-        trees: list[Tree] = []
-        pending: list[Tree] = []
-        for number in range(get("rounds")):
-            tree = self._grow(self._gradients(rows, pending), number, cuts)
-            trees.append(tree)
-            pending.append(tree)
-            if len(pending) == get("writeEvery") and number + 1 < get("rounds"):
-                former, rows = rows, materialize(rows.withColumn("margin", _margin(pending)), "boost-rows")
-                drop_table(former)
-                pending = []
+        return Chain(
+            get("objective"), view, get("rounds"), get("maxDepth"), get("eta"), get("regLambda"), get("minChildWeight"),
+            get("rowSample"), get("columnSample"), get("seed"),
+        )
+
+    def model_of(self, trees: Trees, cuts: Sequence[np.ndarray], start: float) -> BoostedTreesModel:
         model = BoostedTreesModel()
         self._copyValues(model)
-        return model._set(trees=json.dumps(trees), start=float(start))
-
-    def _bin(self, dataset: DataFrame) -> tuple[DataFrame, list[list[float]]]:
-        """Rows as bin numbers, and the cut points of each feature."""
-        values = vector_to_array(F.col(self.getFeaturesCol()))
-        id_col = self.getOrDefault("idCol")
-        key = F.xxhash64(F.col(id_col)) if id_col else F.xxhash64(values)
-        labelled = dataset.where(F.col(self.getLabelCol()).isNotNull())
-        flat = materialize(
-            labelled.select(F.col(self.getLabelCol()).cast("double").alias("y"), key.alias("key"), values.alias("x")),
-            "boost-values",
-            spread=True,
-        )
-        first = flat.first()
-        if first is None:
-            raise ValueError("no labelled row to fit on")
-        width = len(first["x"])
-        names = [f"x{i}" for i in range(width)]
-        wide = flat.select("y", "key", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
-        bins = self.getOrDefault("maxBins")
-        steps = [i / bins for i in range(1, bins)]
-        cuts = [sorted(set(found)) for found in wide.approxQuantile(names, steps, 1.0 / (4 * bins))]
-        cut_names = [n for n, c in zip(names, cuts, strict=True) if c]
-        if cut_names:
-            wide = Bucketizer(
-                splitsArray=[[-math.inf, *c, math.inf] for c in cuts if c],
-                inputCols=cut_names,
-                outputCols=[f"b{n}" for n in cut_names],
-                handleInvalid="keep",
-            ).transform(wide)
-        numbers = [
-            F.when(F.isnan(n), F.lit(MISSING_BIN)).otherwise(F.col(f"b{n}").cast("int") if c else F.lit(0))
-            for n, c in zip(names, cuts, strict=True)
-        ]
-        return wide.select("y", "key", F.array(*numbers).alias("bins")), cuts
-
-    def _gradients(self, rows: DataFrame, pending: Sequence[Tree]) -> DataFrame:
-        margin = rows.withColumn("margin", _margin(pending)) if pending else rows
-        if self.getOrDefault("objective") == "squared":
-            return margin.withColumns({"g": F.col("margin") - F.col("y"), "h": F.lit(1.0)})
-        p = margin.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin"))))
-        return p.withColumns({"g": F.col("p") - F.col("y"), "h": F.col("p") * (F.lit(1.0) - F.col("p"))})
-
-    def _grow(self, rows: DataFrame, number: int, cuts: Sequence[Sequence[float]]) -> Tree:
-        """One tree: a job per level, until no node gains from a split."""
-        seed, reg = self.getOrDefault("seed"), self.getOrDefault("regLambda")
-        share = self.getOrDefault("columnSample")
-        features = list(range(len(cuts)))
-        if share < 1.0:
-            count = max(1, round(share * len(features)))
-            features = sorted(random.Random(seed * 1_000_003 + number).sample(features, count))
-        sample = self.getOrDefault("rowSample")
-        if sample < 1.0:
-            place = F.pmod(F.xxhash64("key", F.lit(number), F.lit(seed)), F.lit(HASH_RANGE))
-            rows = rows.where(place < int(sample * HASH_RANGE))
-        eta = self.getOrDefault("eta")
-        tree: Tree = {"leaf": 0.0, "open": 1}
-        open_leaves = {1: tree}
-        for _ in range(self.getOrDefault("maxDepth")):
-            # Closed leaves give no node number; their rows need no sums.
-            place = render(tree, _by_bin, lambda t: str(t["open"]) if "open" in t else "CAST(NULL AS INT)")
-            active = rows.withColumn("node", F.expr(place)).where(F.col("node").isNotNull())
-            sums = histogram(active, features)
-            # At most one row per open node and feature, however many rows are fitted.
-            found = {}
-            for split in feature_splits(sums, reg, self.getOrDefault("minChildWeight")).collect():
-                held = found.get(split["node"])
-                if held is None or (split["gain"], -split["feature"]) > (held["gain"], -held["feature"]):
-                    found[split["node"]] = split
-            opened = {}
-            for node, leaf in open_leaves.items():
-                leaf.pop("open")
-                split = found.get(node)
-                if split is None:
-                    continue
-                leaf.pop("leaf")
-                leaf.update(feature=split["feature"], bin=split["bin"], missing_left=split["missing_left"])
-                # The last bin has no upper cut: only missing values are to its right.
-                limits = cuts[split["feature"]]
-                leaf["cut"] = limits[split["bin"]] if split["bin"] < len(limits) else None
-                for side, child in (("left", 2 * node), ("right", 2 * node + 1)):
-                    weight = eta * leaf_weight(split[f"g_{side}"], split[f"h_{side}"], reg)
-                    leaf[side] = opened[child] = {"leaf": weight, "open": child}
-            open_leaves = opened
-            if not open_leaves:
-                break
-        for leaf in open_leaves.values():
-            leaf.pop("open")
-        return tree
-
-
-def _margin(trees: Sequence[Tree]) -> Column:
-    return F.expr(_total(["margin", *[render(t, _by_bin, _weight) for t in trees]]))
+        return model._set(trees=as_dicts(trees[: self.getOrDefault("rounds")], list(cuts)), start=float(start))
+
+    def _fit(self, dataset: DataFrame) -> BoostedTreesModel:
+        chain = self.chain()
+        views = _one_view(self, dataset)
+        (trees,) = views.grow([chain], self.getOrDefault("writeEvery"))
+        views.close()
+        return self.model_of(trees, views.cuts[0], views.start(chain))
+
+
+def _one_view(estimator: _TreeParams, dataset: DataFrame) -> Views:
+    get = estimator.getOrDefault
+    return encode_views(dataset, get("idCol"), get("labelCol"), [F.lit(True)], None, get("featuresCol"), get("maxBins"))
+
+
+@dataclass
+class _Scored:
+    """Trees and the cuts of their bins, sent once to every executor."""
+
+    trees: Trees
+    cuts: list[np.ndarray]
+
+    def sums(self, dataset: DataFrame, features: str) -> Column:
+        """The sum of all trees for each row of a vector column."""
+        shared = dataset.sparkSession.sparkContext.broadcast((self.trees.arrays(), self.cuts))
+
+        @F.arrow_udf("double")
+        def total(rows: pa.Array) -> pa.Array:
+            arrays, cuts = shared.value
+            trees = Trees(*arrays)
+            if not len(rows):
+                return pa.array([], pa.float64())
+            values = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            bins = bins_of(values[:, : len(cuts)], cuts) if cuts else np.zeros((len(rows), 1), np.uint8)
+            return pa.array(trees.sums(bins)[:, 0])
+
+        return total(vector_to_array(F.col(features)))
+
+
+def probability_of(objective: str, margin: Column) -> Column:
+    """The probability of class 1 of a margin; the log-odds of first-order boosting are twice the margin."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp((-2.0 if objective == LOG_RESIDUAL else -1.0) * margin))
+
+
+def with_classes(scored: DataFrame, columns: Sequence[str], raw: Column, p: str, prediction: Column, out: str) -> DataFrame:
+    return scored.select(
+        *[F.col(f"`{c}`") for c in columns],
+        array_to_vector(F.array(-raw, raw)).alias("rawPrediction"),
+        array_to_vector(F.array(F.lit(1.0) - F.col(p), F.col(p))).alias("probability"),
+        prediction.alias(out),
+    )
 
 
 class BoostedTreesModel(Model, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Boosted trees. Scoring is one built-in expression; no row leaves the JVM."""
+    """Boosted trees, stored as JSON."""
 
     trees = Param(Params._dummy(), "trees", "the trees as JSON", TypeConverters.toString)
     start = Param(Params._dummy(), "start", "the margin before the first tree", TypeConverters.toFloat)
@@ -325,21 +233,106 @@ class BoostedTreesModel(Model, _BoostParams, DefaultParamsReadable, DefaultParam
         self._defaults()
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        start = f"({self.getOrDefault('start')!r}D)"
-        trees = [render(t, _by_value, _weight) for t in json.loads(self.getOrDefault("trees"))]
-        margin = F.expr(_total([start, *trees]))
-        scored = (
-            dataset.withColumn("__x", vector_to_array(F.col(self.getFeaturesCol())))
-            .withColumn("__margin", margin)
-            .drop("__x")
-        )
-        out = self.getOrDefault("predictionCol")
-        if self.getOrDefault("objective") == "squared":
+        get = self.getOrDefault
+        sums = _Scored(*from_dicts(get("trees"))).sums(dataset, get("featuresCol"))
+        scored = dataset.withColumn("__margin", F.lit(get("start")) + sums)
+        out, objective = get("predictionCol"), get("objective")
+        if objective in (SQUARED, RESIDUAL):
             return scored.withColumn(out, F.col("__margin")).drop("__margin")
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__margin")))
-        return scored.withColumn("__p", p).select(
-            *dataset.columns,
-            array_to_vector(F.array(-F.col("__margin"), F.col("__margin"))).alias("rawPrediction"),
-            array_to_vector(F.array(F.lit(1.0) - F.col("__p"), F.col("__p"))).alias("probability"),
-            at_threshold(F.col("__p"), 0.5).alias(out),
-        )
+        scored = scored.withColumn("__p", probability_of(objective, F.col("__margin")))
+        prediction = at_threshold(F.col("__p"), 0.5) if objective == LOGISTIC else F.when(F.col("__margin") > 0, 1.0).otherwise(0.0)
+        return with_classes(scored, dataset.columns, F.col("__margin"), "__p", prediction, out)
+
+
+class _ForestParams(_TreeParams):
+    task = Param(Params._dummy(), "task", "classify (labels 0 and 1) or regress", TypeConverters.toString)
+    numTrees = Param(Params._dummy(), "numTrees", "number of trees", TypeConverters.toInt)
+    minRows = Param(Params._dummy(), "minRows", "least number of drawn rows of a side", TypeConverters.toFloat)
+    rowSample = Param(Params._dummy(), "rowSample", "draws per row and tree", TypeConverters.toFloat)
+    features = Param(Params._dummy(), "features", "features looked at per node: sqrt or all", TypeConverters.toString)
+
+    def _defaults(self) -> None:
+        self._setDefault(
+            task="classify", featuresCol="features", labelCol="label", predictionCol="prediction", idCol="", numTrees=20,
+            maxDepth=5, minRows=1.0, rowSample=1.0, features="sqrt", maxBins=32, seed=42,
+        )
+
+
+class HistogramForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParamsWritable):
+    """A forest whose draws come from row ids, trees and nodes alone, so neither cores nor partitions matter."""
+
+    @keyword_only
+    def __init__(
+        self,
+        *,
+        task=None,
+        featuresCol=None,
+        labelCol=None,
+        predictionCol=None,
+        idCol=None,
+        numTrees=None,
+        maxDepth=None,
+        minRows=None,
+        rowSample=None,
+        features=None,
+        maxBins=None,
+        seed=None,
+    ):
+        super().__init__()
+        self._defaults()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def forest(self, width: int, view: int = 0) -> Forest:
+        get = self.getOrDefault
+        if get("task") not in ("classify", "regress") or get("features") not in ("sqrt", "all"):
+            raise ValueError("the task is classify or regress, the features sqrt or all")
+        if get("numTrees") <= 0 or get("maxDepth") < 0 or get("rowSample") <= 0:
+            raise ValueError("trees and row sample must be positive, the depth not negative")
+        tries = math.ceil(math.sqrt(width)) if get("features") == "sqrt" else None
+        classes = get("task") == "classify"
+        return Forest(view, get("numTrees"), get("maxDepth"), get("minRows"), get("rowSample"), tries, get("seed"), classes)
+
+    def model_of(self, trees: Trees, cuts: Sequence[np.ndarray]) -> ForestModel:
+        """The model of the first trees and levels that this estimator asks for."""
+        nodes = 2 ** (self.getOrDefault("maxDepth") + 1) - 1
+        own = trees[: self.getOrDefault("numTrees")]
+        own = Trees(own.feature[:, :nodes].copy(), own.bin[:, :nodes], own.missing_left[:, :nodes], own.value[:, :nodes])
+        own.feature[:, nodes // 2 :] = -1
+        model = ForestModel()
+        self._copyValues(model)
+        return model._set(trees=own.packed(), cuts=[";".join(map(repr, c.tolist())) for c in cuts])
+
+    def _fit(self, dataset: DataFrame) -> ForestModel:
+        self.forest(1)
+        views = _one_view(self, dataset)
+        trees = views.grow_forest(self.forest(len(views.cuts[0])))
+        views.close()
+        return self.model_of(trees, views.cuts[0])
+
+
+class ForestModel(Model, _ForestParams, DefaultParamsReadable, DefaultParamsWritable):
+    """A forest: means over its trees."""
+
+    trees = Param(Params._dummy(), "trees", "the trees' arrays as text", TypeConverters.toString)
+    cuts = Param(Params._dummy(), "cuts", "cut points of each feature", TypeConverters.toListString)
+
+    def __init__(self):
+        super().__init__()
+        self._defaults()
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        get = self.getOrDefault
+        cuts = [np.array([float(x) for x in c.split(";") if x]) for c in get("cuts")]
+        trees = Trees.unpacked(get("trees"))
+        mean = _Scored(trees, cuts).sums(dataset, get("featuresCol")) / F.lit(float(len(trees)))
+        scored = dataset.withColumn("__p", mean)
+        out = get("predictionCol")
+        if get("task") == "regress":
+            return scored.withColumn(out, F.col("__p")).drop("__p")
+        votes = F.col("__p") * float(len(trees))
+        return with_classes(scored, dataset.columns, votes, "__p", forest_class(F.col("__p")), out)
+
+
+def forest_class(p: Column) -> Column:
+    """Class 1 if it has more votes than class 0."""
+    return F.when(p > 0.5, 1.0).otherwise(0.0)

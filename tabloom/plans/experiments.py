@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numeric import prob_at_one
-from tabloom.operators.folds import FOLD, fold_split, holdout, with_folds
+from tabloom.operators.folds import FOLD, holdout, holdout_choice, with_folds
 from tabloom.operators.metrics import (
     SWEEP_WEIGHTS,
     blend_sweep,
@@ -43,11 +43,14 @@ from tabloom.operators.schema import (
     infer_roles,
     keep_columns,
     log_target,
+    not_outlier,
 )
 from tabloom.operators.votes import log_blend, soft_vote
 from tabloom.plans import house, passenger
+from tabloom.plans.fits import FITS_AT_ONCE, Fits, signatures
 from tabloom.plans.grids import Candidate, baseline_grid, boost_grid, gbt_grid, lr_grid, rf_grid
 from tabloom.plans.stages import ALGORITHMS, house_stages
+from tabloom.plans.steps import Steps
 from tabloom.runtime import in_fixed_order, materialize, together
 from tabloom.sources.sinks import (
     classification_output,
@@ -77,8 +80,6 @@ BLEND_WEIGHT = 0.4
 # End of fixed values.
 
 ID, LABEL = passenger.ID, passenger.LABEL
-FITS_AT_ONCE = 4
-
 
 def with_probability(predictions: DataFrame, out: str = "base_probability") -> DataFrame:
     return predictions.withColumn(out, prob_at_one(F.col("probability")))
@@ -102,6 +103,12 @@ def folded_table(train: DataFrame, folds: int, id_col: str = ID) -> DataFrame:
     return materialize(with_folds(train, id_col, folds), "folds", [FOLD], spread=True)
 
 
+def folded_fits(train: DataFrame, folds: int, id_col: str = ID, label: str = LABEL, at_once: int = FITS_AT_ONCE) -> Fits:
+    """A store of fits over folds; its last choice is all rows."""
+    folded = folded_table(train, folds, id_col)
+    return Fits(folded, [F.col(FOLD) != f for f in range(folds)], id_col, label, [FOLD], at_once)
+
+
 def cv_scores(
     train: DataFrame,
     candidates: Sequence[Candidate],
@@ -109,28 +116,17 @@ def cv_scores(
     id_col: str = ID,
     label: str = LABEL,
     at_once: int = FITS_AT_ONCE,
+    fits: Fits | None = None,
 ) -> DataFrame:
-    """Accuracy and AUC per candidate and fold: (grid_pos, candidate, fold, accuracy, auc)."""
-    folded = folded_table(train, folds, id_col)
-
-    def predict(position: int, candidate: Candidate, fold: int) -> DataFrame:
-        training, validation = fold_split(folded, fold)
-        scored = with_probability(candidate.stages.fit(in_fixed_order(training, id_col)).transform(validation), "probability_one")
-        return materialize(
-            scored.select(
-                F.lit(position).alias("grid_pos"),
-                F.lit(candidate.name).alias("candidate"),
-                F.lit(fold).alias("fold"),
-                F.col(label),
-                "prediction",
-                "probability_one",
-            ),
-            "fold-predictions",
-        )
-
-    tasks = [partial(predict, i, c, fold) for i, c in enumerate(candidates) for fold in range(folds)]
-    predictions = union_all(together(train.sparkSession, tasks, at_once))
-    return classification_scores(predictions, label, ["grid_pos", "candidate", "fold"])
+    """Accuracy and AUC per candidate and fold: (grid_pos, candidate, fold, accuracy, auc). ``fits`` is taken up if given."""
+    fits = fits or folded_fits(train, folds, id_col, label, at_once)
+    predictions = fits.out_of_choice([c.stages for c in candidates], range(folds))
+    names = F.array(*[F.lit(c.name) for c in candidates])
+    named = predictions.select(
+        F.col("position").alias("grid_pos"), names[F.col("position")].alias("candidate"), F.col("choice").alias("fold"),
+        F.col(label), "prediction", F.col("score").alias("probability_one"),
+    )
+    return classification_scores(named, label, ["grid_pos", "candidate", "fold"])
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:
@@ -151,21 +147,28 @@ class Selected:
 
 
 def select_and_fit(
-    train: DataFrame, test: DataFrame, candidates: Sequence[Candidate], folds: int = 5, at_once: int = FITS_AT_ONCE
+    train: DataFrame,
+    test: DataFrame,
+    candidates: Sequence[Candidate],
+    folds: int = 5,
+    at_once: int = FITS_AT_ONCE,
+    fits: Fits | None = None,
 ) -> Selected:
     """Score all candidates, refit the best one on all rows, predict the test rows."""
-    train = folded_table(train, folds)
-    scores = materialize(cv_summary(cv_scores(train, candidates, folds, at_once=at_once)), "scores")
+    fits = fits or folded_fits(train, folds, at_once=at_once)
+    scores = materialize(cv_summary(cv_scores(train, candidates, folds, fits=fits)), "scores")
     best = best_candidate(scores).first()
-    model = candidates[best["grid_pos"]].stages.fit(in_fixed_order(train.drop(FOLD), ID))
+    model = fits.model(candidates[best["grid_pos"]].stages, fits.every)
     return Selected(best["candidate"], best["accuracy"], best["auc"], scores, model, model.transform(test))
 
 
 # Soft vote
 
 
-def fit_members(members: Mapping[str, Pipeline], train: DataFrame, at_once: int = FITS_AT_ONCE) -> dict[str, PipelineModel]:
-    fitted = together(train.sparkSession, [partial(s.fit, train) for s in members.values()], at_once)
+def fit_members(members: Mapping[str, Pipeline], train: DataFrame, id_col: str = ID, at_once: int = FITS_AT_ONCE) -> dict[str, PipelineModel]:
+    """Every member fitted on rows in their fixed layout."""
+    layout = in_fixed_order(train, id_col)
+    fitted = together(train.sparkSession, [partial(s.fit, layout) for s in members.values()], at_once)
     return dict(zip(members, fitted, strict=True))
 
 
@@ -198,17 +201,18 @@ def soft_vote_cv(
     id_col: str = ID,
     label: str = LABEL,
     at_once: int = FITS_AT_ONCE,
+    fits: Fits | None = None,
 ) -> tuple[DataFrame, dict[str, PipelineModel], DataFrame]:
     """Fold scores of the vote, the members fitted on all rows, and the test predictions."""
-    folded = folded_table(train, folds, id_col)
-    parts = []
-    for fold in range(folds):
-        training, validation = fold_split(folded, fold)
-        voted = soft_vote_predict(fit_members(members, training, at_once), validation, id_col, label)
-        parts.append(
-            materialize(voted.select(F.lit(fold).alias("fold"), label, "prediction", "probability_one"), "votes")
-        )
-    models = fit_members(members, folded.drop(FOLD), at_once)
+    fits = fits or folded_fits(train, folds, id_col, label, at_once)
+    fits.grow(list(members.values()), range(folds + 1))
+
+    def vote(fold: int) -> DataFrame:
+        voted = soft_vote_predict(fits.all_models(members, fold), fits.others(fold), id_col, label)
+        return materialize(voted.select(F.lit(fold).alias("fold"), label, "prediction", "probability_one"), "votes")
+
+    parts = together(train.sparkSession, [partial(vote, f) for f in range(folds)], at_once)
+    models = fits.all_models(members, fits.every)
     return classification_scores(union_all(parts), label, ["fold"]), models, soft_vote_predict(models, test, id_col, label)
 
 
@@ -221,14 +225,15 @@ def variant_cv(
     folds: int = 5,
     variants: Sequence[RuleVariant] = RULE_VARIANTS,
     at_once: int = FITS_AT_ONCE,
+    fits: Fits | None = None,
 ) -> DataFrame:
     """Mean scores per variant. One fit per fold; evidence comes from its training rows only."""
-    folded = folded_table(train, folds)
+    fits = fits or folded_fits(train, folds, at_once=at_once)
+    fits.grow([stages], range(folds))
 
     def predict(fold: int) -> DataFrame:
-        training, validation = fold_split(folded, fold)
-        scored = with_probability(stages.fit(in_fixed_order(training, ID)).transform(validation))
-        judged = variant_rows(attach_evidence(scored, training, LABEL), [LABEL], variants)
+        scored = with_probability(fits.model(stages, fold).transform(fits.others(fold)))
+        judged = variant_rows(attach_evidence(scored, fits.rows(fold), LABEL), [LABEL], variants)
         return materialize(judged.withColumn("fold", F.lit(fold)), "variant-predictions")
 
     judged = union_all(together(train.sparkSession, [partial(predict, f) for f in range(folds)], at_once))
@@ -252,11 +257,11 @@ def variant_outputs(evidenced: DataFrame, variants: Sequence[RuleVariant] = RULE
     return {v.name: classification_output(apply_rules(evidenced, v), ID, LABEL) for v in variants}
 
 
-def disagreement_of(models: Mapping[str, Pipeline], train: DataFrame, test: DataFrame, at_once: int = FITS_AT_ONCE) -> DataFrame:
+def disagreement_of(
+    models: Mapping[str, Pipeline], train: DataFrame, test: DataFrame, at_once: int = FITS_AT_ONCE, fits: Fits | None = None
+) -> DataFrame:
     """How independently fitted models disagree on the test rows. A fit that fails is raised."""
-    layout = in_fixed_order(train, ID)
-    fitted = together(train.sparkSession, [partial(stages.fit, layout) for stages in models.values()], at_once)
-    usable = dict(zip(models, fitted, strict=True))
+    usable = fits.all_models(models, fits.every) if fits else fit_members(models, train, ID, at_once)
     outputs = lambda n: {
         f"pred_{n}": F.col("prediction").cast("int"),
         f"p_{n}": prob_at_one(F.col("probability")),
@@ -273,20 +278,29 @@ def postprocess(
     variants: Sequence[RuleVariant] = RULE_VARIANTS,
     out_dir: str | None = None,
     model_path: str | None = None,
+    fits: Fits | None = None,
+    steps: Steps | None = None,
 ) -> Postprocessed:
     """Variant scores, the base model, all variants on the test rows, and diagnostics.
 
     ``others`` are the models whose disagreement is shown. Files are written if
-    ``out_dir`` is given; the model if ``model_path`` is.
+    ``out_dir`` is given; the model if ``model_path`` is. With ``steps`` a run
+    that ended half-way goes on from the tables it has written.
     """
-    train = folded_table(train, folds)
-    metrics = materialize(variant_cv(train, base.stages, folds, variants), "variant-scores")
-    train = train.drop(FOLD)
+    fits = fits or folded_fits(train, folds)
+    steps = steps or Steps()
+    inputs = (signatures(base.stages), tuple((n, signatures(s)) for n, s in others.items()), folds, tuple(v.name for v in variants))
+    metrics = steps.table(train.sparkSession, "variant-scores", inputs, lambda: variant_cv(train, base.stages, folds, variants, fits=fits))
+    fits.grow([base.stages, *others.values()], [fits.every])
+    whole = fits.rows(fits.every)
     best = best_candidate(metrics).first()["variant"]
-    model = base.stages.fit(in_fixed_order(train, ID))
-    scored = attach_evidence(with_probability(model.transform(test)), train, LABEL)
-    needed = [c for c in scored.columns if c not in ("rawPrediction", "probability", "features")]
-    evidenced = materialize(scored.select(*needed), "evidence")
+    model = fits.model(base.stages, fits.every)
+
+    def evidence() -> DataFrame:
+        scored = attach_evidence(with_probability(model.transform(test)), whole, LABEL)
+        return scored.select(*[c for c in scored.columns if c not in ("rawPrediction", "probability", "features")])
+
+    evidenced = steps.table(train.sparkSession, "evidence", inputs, evidence)
     wide = variant_columns(evidenced, variants)
     result = Postprocessed(
         best,
@@ -295,7 +309,7 @@ def postprocess(
         wide,
         variant_outputs(evidenced, variants),
         variant_diagnostics(wide, ID),
-        disagreement_of(others, train, test),
+        disagreement_of(others, whole, test, fits=fits),
     )
     if model_path:
         save_model(model, model_path)
@@ -322,6 +336,21 @@ def default_grids(seed: int = 42) -> dict[str, list[Candidate]]:
     }
 
 
+def planned_fits(names: Sequence[str], grids: Mapping[str, Sequence[Candidate]]) -> tuple[list[Pipeline], list[Pipeline]]:
+    """The pipelines that experiments on the feature set fit per fold, and those that they fit on all rows for sure."""
+    per_fold, whole = [], []
+    for name in names:
+        if name == VOTE:
+            members = [grids[m][0].stages for m in VOTE_MEMBERS]
+            per_fold, whole = per_fold + members, whole + members
+        elif name == POSTPROCESS:
+            per_fold.append(grids[FOREST][0].stages)
+            whole += [grids[m][0].stages for m in (FOREST, GBT, BOOST)]
+        elif name != BASELINE and name in grids:
+            per_fold += [c.stages for c in grids[name]]
+    return per_fold, whole
+
+
 def run_experiment(
     name: str,
     raw: tuple[DataFrame, DataFrame],
@@ -330,30 +359,35 @@ def run_experiment(
     folds: int = 5,
     out_dir: str | None = None,
     model_dir: str | None = None,
+    fits: Fits | None = None,
 ) -> tuple[tuple, DataFrame]:
     """One experiment's result row and its test-side output table.
 
-    The baseline reads the raw columns; all others read the feature set.
+    The baseline reads the raw columns; all others read the feature set, and share the store of its fits.
     """
     model_path = f"{model_dir}/{name}" if model_dir else None
     output_path = f"{out_dir}/submission_{name}.csv" if out_dir else None
     train, test = raw if name == BASELINE else enhanced
+    if name == BASELINE:
+        fits = None
+    elif fits is None:
+        fits = folded_fits(train, folds)
     if name == POSTPROCESS:
         models = dict(zip(DISAGREEMENT_MODELS, (FOREST, GBT, LINEAR, BOOST), strict=True))
         others = {short: grids[long][0].stages for short, long in models.items()}
-        done = postprocess(train, test, grids[FOREST][0], others, folds, out_dir=out_dir, model_path=model_path)
+        done = postprocess(train, test, grids[FOREST][0], others, folds, out_dir=out_dir, model_path=model_path, fits=fits)
         row = done.metrics.where(F.col("variant") == done.best).first()
         candidate, accuracy, auc, output = done.best, row["accuracy"], row["auc"], done.outputs[done.best]
     elif name == VOTE:
         members = {m: grids[m][0].stages for m in VOTE_MEMBERS}
-        scores, models, predictions = soft_vote_cv(train, test, members, folds)
+        scores, models, predictions = soft_vote_cv(train, test, members, folds, fits=fits)
         mean = fold_mean(scores, [], ["accuracy", "auc"]).first()
         candidate, accuracy, auc = VOTE_NAME, mean["accuracy"], mean["auc"]
         output = classification_output(predictions, ID, LABEL)
         if model_path:
             save_members(models, model_path)
     elif name in grids:
-        chosen = select_and_fit(train, test, grids[name], folds)
+        chosen = select_and_fit(train, test, grids[name], folds, fits=fits)
         candidate, accuracy, auc = chosen.candidate, chosen.accuracy, chosen.auc
         output = classification_output(chosen.predictions, ID, LABEL)
         if model_path:
@@ -395,10 +429,15 @@ def run_experiments(
         ],
     )
     raw, enhanced = (raw_train, raw_test), (train, test)
+    # All trees that any experiment needs grow at once: each candidate's folds, and those that are fitted on all rows.
+    fits = folded_fits(train, folds)
+    needed, refitted = planned_fits(names, grids)
+    fits.grow(needed, range(folds))
+    fits.grow(refitted, [fits.every])
     rows: list[tuple] = []
     outputs: dict[str, DataFrame] = {}
     for name in names:
-        row, outputs[name] = run_experiment(name, raw, enhanced, grids, folds, out_dir, model_dir)
+        row, outputs[name] = run_experiment(name, raw, enhanced, grids, folds, out_dir, model_dir, fits)
         rows.append(row)
     table = write_results(spark, rows, f"{out_dir}/experiments.csv") if out_dir else results_table(spark, rows)
     if not rows:
@@ -430,6 +469,13 @@ def prepare_houses(train: DataFrame, test: DataFrame | None = None, advanced: bo
     return Prepared(categorical_text(ready, roles.categorical), ready_test, roles)
 
 
+def seed_choices(prepared: Prepared, seeds: Sequence[int], remove_outliers: bool) -> list[tuple[Column, Column]]:
+    """Which rows train under each holdout seed, and which validate."""
+    inside = [holdout_choice(seed, house.ID) for seed in seeds]
+    usable = not_outlier(prepared.train, house.AREA, house.TARGET) if remove_outliers else F.lit(True)
+    return [(i & usable, ~i) for i in inside]
+
+
 def validate_seeds(
     prepared: Prepared,
     algorithm: str = "lr",
@@ -441,14 +487,27 @@ def validate_seeds(
 ) -> DataFrame:
     """Log-RMSE per holdout seed. The model keeps its own seed; only the split varies."""
     stages = house_stages(prepared.roles, algorithm, **settings)
-
-    def predict(seed: int) -> DataFrame:
-        training, validation = holdout(prepared.train, seed, house.ID, by_partition=by_partition)
-        training = filter_training_outliers(training, house.AREA, house.TARGET, enabled=remove_outliers)
-        scored = stages.fit(in_fixed_order(training, house.ID)).transform(validation)
-        return materialize(scored.select(F.lit(seed).alias("seed"), house.LABEL, "prediction"), "seed-predictions")
-
-    parts = together(prepared.train.sparkSession, [partial(predict, s) for s in seeds], at_once)
+    table = prepared.train if by_partition else materialize(prepared.train, "houses")
+
+    def split(position: int) -> tuple[DataFrame, DataFrame]:
+        if not by_partition:
+            return table.where(choices[position][0]), table.where(choices[position][1])
+        training, validation = holdout(table, seeds[position], house.ID, by_partition=True)
+        return filter_training_outliers(training, house.AREA, house.TARGET, enabled=remove_outliers), validation
+
+    choices = seed_choices(prepared, seeds, remove_outliers)
+    fits = None
+    if not by_partition and algorithm != "lr":
+        fits = Fits(table, [inside for inside, _ in choices], house.ID, house.LABEL, at_once=at_once)
+        fits.grow([stages], range(len(seeds)))
+
+    def predict(position: int) -> DataFrame:
+        training, validation = split(position)
+        model = fits.model(stages, position) if fits else stages.fit(in_fixed_order(training, house.ID))
+        scored = model.transform(validation)
+        return materialize(scored.select(F.lit(seeds[position]).alias("seed"), house.LABEL, "prediction"), "seed-predictions")
+
+    parts = together(prepared.train.sparkSession, [partial(predict, i) for i in range(len(seeds))], at_once)
     return rmse(union_all(parts), house.LABEL, "prediction", ["seed"], "log_rmse")
 
 
@@ -460,18 +519,23 @@ def blend_validate(
     at_once: int = FITS_AT_ONCE,
     **settings,
 ) -> DataFrame:
-    """RMSE of every blend weight per seed. Both the split and the models use the seed."""
-
-    def predict(seed: int) -> DataFrame:
-        training, validation = holdout(prepared.train, seed, house.ID)
-        training = filter_training_outliers(training, house.AREA, house.TARGET, enabled=remove_outliers)
-        models = _fit_pair(prepared.roles, training, **{**settings, "seed": seed})
-        scored = score_members(models, validation, lambda name: {f"{name}_prediction": F.col("prediction")})
+    """RMSE of every blend weight per seed. Both the split and the models use the seed; all seeds' boosters grow in the same jobs."""
+    table = materialize(prepared.train, "houses")
+    choices = seed_choices(prepared, seeds, remove_outliers)
+    boosters = [house_stages(prepared.roles, "xgb", **{**settings, "seed": seed}) for seed in seeds]
+    lines = [house_stages(prepared.roles, "lr", **{**settings, "seed": seed}) for seed in seeds]
+    fits = Fits(table, [inside for inside, _ in choices], house.ID, house.LABEL, at_once=at_once)
+    fits.grow_together([(stages, position) for position, stages in enumerate(boosters)])
+
+    def predict(position: int) -> DataFrame:
+        line = lines[position].fit(in_fixed_order(table.where(choices[position][0]), house.ID))
+        models = {"lr": line, "xgb": fits.model(boosters[position], position)}
+        scored = score_members(models, table.where(choices[position][1]), lambda name: {f"{name}_prediction": F.col("prediction")})
         return materialize(
-            scored.select(F.lit(seed).alias("seed"), house.LABEL, "lr_prediction", "xgb_prediction"), "blends"
+            scored.select(F.lit(seeds[position]).alias("seed"), house.LABEL, "lr_prediction", "xgb_prediction"), "blends"
         )
 
-    parts = together(prepared.train.sparkSession, [partial(predict, s) for s in seeds], at_once)
+    parts = together(prepared.train.sparkSession, [partial(predict, i) for i in range(len(seeds))], at_once)
     return blend_sweep(union_all(parts), "lr_prediction", "xgb_prediction", house.LABEL, weights, ["seed"])
 
 
@@ -484,7 +548,7 @@ def blend_summary(swept: DataFrame, weights: Sequence[float] = SWEEP_WEIGHTS) ->
 
 
 def _fit_pair(roles: Roles, training: DataFrame, **settings) -> dict[str, PipelineModel]:
-    return fit_members({a: house_stages(roles, a, **settings) for a in ("lr", "xgb")}, training, 2)
+    return fit_members({a: house_stages(roles, a, **settings) for a in ("lr", "xgb")}, training, house.ID, 2)
 
 
 @dataclass(frozen=True)

@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 
 from tabloom.functions.text import TITLE_PATTERN
 from tabloom.operators.encode import Densifier, assembler, indexer, median_imputer, one_hot, scaler
 from tabloom.operators.schema import Roles, text_name
 from tabloom.plans import house, passenger
-from tabloom.plans.boost import HistogramBooster
+from tabloom.plans.boost import HistogramBooster, HistogramForest
+from tabloom.plans.levels import RESIDUAL
 
 # Columns of the two SQL steps, feature orders and model settings. The SQL texts are values that must
 # match: what the steps compute is given, and they are stated plainly.
@@ -157,23 +158,25 @@ def _linear_tail(imputed: Sequence[str], coded: Sequence[str], label: str, s: di
 
 
 def _tree_tail(algorithm: str, columns: Sequence[str], label: str, id_col: str, s: dict) -> list:
-    shared = {"labelCol": label, "featuresCol": "features", "seed": s["seed"], "maxDepth": s["depth"]}
+    shared = {"labelCol": label, "featuresCol": "features", "idCol": id_col, "seed": s["seed"], "maxDepth": s["depth"]}
     if algorithm == "rf":
-        model = RandomForestRegressor(
+        model = HistogramForest(
+            task="regress",
             numTrees=s["trees"],
             maxBins=s["max_bins"],
-            minInstancesPerNode=FOREST_MIN_ROWS,
-            subsamplingRate=FOREST_ROW_SAMPLE,
-            featureSubsetStrategy=FOREST_FEATURES,
+            minRows=float(FOREST_MIN_ROWS),
+            rowSample=FOREST_ROW_SAMPLE,
+            features=FOREST_FEATURES,
             **shared,
         )
         return [assembler(columns), model]
     if algorithm == "gbt":
-        model = GBTRegressor(maxIter=s["iterations"], maxBins=s["max_bins"], stepSize=GBT_STEP, **shared)
+        model = HistogramBooster(
+            objective=RESIDUAL, rounds=s["iterations"], maxBins=s["max_bins"], eta=GBT_STEP, regLambda=0.0, **shared
+        )
         return [assembler(columns), model]
     model = HistogramBooster(
         objective="squared",
-        idCol=id_col,
         rounds=s["rounds"],
         eta=s["eta"],
         minChildWeight=BOOST_MIN_WEIGHT,

@@ -49,12 +49,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tabloom-{app}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete a written intermediate table that nothing reads any more."""
-    spark = table.sparkSession
     for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(table.sparkSession, folder)
 
 
 def drop_scratch(spark: SparkSession) -> None:
