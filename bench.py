@@ -1,9 +1,13 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+Each query's seconds also go to stderr as it ends, and a run that is stopped early prints the line of what it has.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import signal
 import sys
 import time
 
@@ -65,18 +69,28 @@ def main() -> None:
     registered = catalog.queries()
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     seconds: dict[str, float] = {}
+
+    def report() -> None:
+        line = {
+            "metric": "total_headline_seconds",
+            "value": round(sum(seconds.values()), 3),
+            "unit": "sec",
+            "queries": seconds,
+            "sf": os.path.basename(sf_dir.rstrip("/")),
+        }
+        print(json.dumps(line), flush=True)
+
+    def stopped(*_) -> None:
+        report()
+        os._exit(124)
+
+    signal.signal(signal.SIGTERM, stopped)
     for name in names:
         start = time.perf_counter()
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    line = {
-        "metric": "total_headline_seconds",
-        "value": round(sum(seconds.values()), 3),
-        "unit": "sec",
-        "queries": seconds,
-        "sf": os.path.basename(sf_dir.rstrip("/")),
-    }
-    print(json.dumps(line))
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+    report()
 
 
 if __name__ == "__main__":

@@ -296,8 +296,8 @@ class HistogramForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
         """The model of the first trees and levels that this estimator asks for."""
         nodes = 2 ** (self.getOrDefault("maxDepth") + 1) - 1
         own = trees[: self.getOrDefault("numTrees")]
-        own = Trees(own.feature[:, :nodes].copy(), own.bin[:, :nodes], own.missing_left[:, :nodes], own.value[:, :nodes])
-        own.feature[:, nodes // 2 :] = -1
+        own = Trees(*[array[:, :nodes].copy() for array in own.arrays()])
+        own.feature[:, nodes // 2 :], own.bin[:, nodes // 2 :], own.missing_left[:, nodes // 2 :] = -1, 0, False
         model = ForestModel()
         self._copyValues(model)
         return model._set(trees=own.packed(), cuts=[";".join(map(repr, c.tolist())) for c in cuts])

@@ -27,6 +27,9 @@ from tabloom.plans.levels import WRITE_EVERY, Chain, Forest, block_rows, grow_ch
 from tabloom.plans.trees import Trees
 from tabloom.runtime import materialize, together
 
+# Rows that cut points are taken from, about; all rows of smaller tables.
+CUT_ROWS = 100_000
+HASH_RANGE = 1 << 53
 # The share of a class that a view lacks is taken as this.
 ONE_CLASS = 1e-6
 
@@ -66,12 +69,21 @@ class Views:
         self.blocks.unpersist()
 
 
-def quantile_cuts(rows: DataFrame, column: str, width: int, bins: int) -> list[np.ndarray]:
-    """Distinct quantiles of each place of an array column as cut points; NaN takes no part."""
-    names = [f"x{i}" for i in range(width)]
-    wide = rows.select(*[F.col(column)[i].alias(n) for i, n in enumerate(names)])
-    found = wide.approxQuantile(names, [i / bins for i in range(1, bins)], 1.0 / (4 * bins)) if names else []
-    return [np.array(sorted(set(own)), np.float64) for own in found]
+def quantile_cuts(rows: DataFrame, column: str, share: float, bins: int) -> list[np.ndarray]:
+    """Distinct quantiles of each place of an array column as cut points; NaN takes no part.
+
+    They come from a ``share`` of the rows, chosen by a hash of their keys, so neither files nor cores matter. Rows
+    are all binned; only where the cuts lie is estimated, as gradient boosting libraries do.
+    """
+    if share < 1.0:
+        rows = rows.where(F.pmod(F.xxhash64("key", F.lit("cuts")), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
+    held = rows.select(column).toArrow()[column].combine_chunks()
+    values = held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1) if len(held) else np.zeros((0, 0))
+    cuts = []
+    for own in values.T:
+        own = np.sort(own[~np.isnan(own)])
+        cuts.append(np.unique(own[np.arange(1, bins) * len(own) // bins]) if len(own) else own)
+    return cuts
 
 
 def encode_views(
@@ -104,7 +116,7 @@ def encode_views(
     per_view = [
         F.struct(
             F.count(F.when(F.col("trains")[v], 1)).alias("rows"), F.avg(F.when(F.col("trains")[v], F.col("y"))).alias("mean"),
-            F.coalesce(F.max(F.when(F.col("trains")[v], F.abs("y"))), F.lit(0.0)).alias("span"), F.max(F.size(f"x{v}")).alias("width"),
+            F.coalesce(F.max(F.when(F.col("trains")[v], F.abs("y"))), F.lit(0.0)).alias("span"),
         ).alias(f"v{v}")
         for v in range(len(choices))
     ]
@@ -112,7 +124,7 @@ def encode_views(
     stats = [found[f"v{v}"] for v in range(len(choices))]
     if not all(s["rows"] for s in stats):
         raise ValueError("no labelled row to fit on")
-    cut = lambda v: quantile_cuts(flat.where(F.col("trains")[v]), f"x{v}", stats[v]["width"], max_bins)
+    cut = lambda v: quantile_cuts(flat.where(F.col("trains")[v]), f"x{v}", CUT_ROWS / stats[v]["rows"], max_bins)
     cuts = together(spark, [partial(cut, v) for v in range(len(choices))], 4)
     packed, blocks = block_rows(flat, cuts, found["rows"])
     return Views(packed, blocks, models, cuts, [s["mean"] for s in stats], [s["span"] for s in stats], flat.schema["id"].dataType.simpleString())

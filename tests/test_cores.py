@@ -24,6 +24,7 @@ print("RESULT" + json.dumps(out))
 
 def fitted(cores: int):
     run = subprocess.run([sys.executable, "-c", RUN, str(cores)], cwd=ROOT, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-3000:]
     line = next(x for x in run.stdout.splitlines() if x.startswith("RESULT"))
     return json.loads(line.removeprefix("RESULT"))
 

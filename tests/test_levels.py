@@ -17,7 +17,8 @@ from tabloom.plans.steps import Steps
 from tabloom.plans.trees import Trees, as_dicts, bins_of, from_dicts
 from tests.test_models import brute_split
 
-STAGES = [VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="keep")]
+def stages_of(*model):
+    return Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="keep"), *model])
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +61,7 @@ def test_a_node_without_gain_is_a_leaf():
 
 
 def grown(rows, chains, forests):
-    views = encode_views(rows, "id", "k", [F.col("fold") != 0, F.lit(True)], Pipeline(stages=STAGES), max_bins=32)
+    views = encode_views(rows, "id", "k", [F.col("fold") != 0, F.lit(True)], stages_of(), max_bins=32)
     out = views.grow(chains), [views.grow_forest(f) for f in forests], views.blocks.getNumPartitions()
     views.close()
     return out
@@ -98,7 +99,7 @@ def test_fewer_rounds_trees_and_levels_are_beginnings(spark, rows):
 
 
 def test_first_order_boosting_follows_its_residuals(spark, rows):
-    stages = Pipeline(stages=[*STAGES, HistogramBooster(objective="residual", labelCol="y", idCol="id", rounds=3, maxDepth=1, eta=0.5, regLambda=0.0, maxBins=32)])
+    stages = stages_of(HistogramBooster(objective="residual", labelCol="y", idCol="id", rounds=3, maxDepth=1, eta=0.5, regLambda=0.0, maxBins=32))
     model = stages.fit(rows)
     held = rows.select("id", "a", "b", "c", "y").collect()
     x = np.array([[r["a"], r["b"], r["c"]] for r in held])
@@ -131,11 +132,11 @@ def test_trees_as_text_and_back():
 
 
 def boosted(rounds, **settings):
-    return Pipeline(stages=[*STAGES, HistogramBooster(objective="logistic", labelCol="k", idCol="id", rounds=rounds, maxDepth=2, maxBins=32, **settings)])
+    return stages_of(HistogramBooster(objective="logistic", labelCol="k", idCol="id", rounds=rounds, maxDepth=2, maxBins=32, **settings))
 
 
 def forest(trees, depth=3):
-    return Pipeline(stages=[*STAGES, HistogramForest(labelCol="k", idCol="id", numTrees=trees, maxDepth=depth)])
+    return stages_of(HistogramForest(labelCol="k", idCol="id", numTrees=trees, maxDepth=depth))
 
 
 def test_a_store_fits_nothing_twice(spark, rows):
