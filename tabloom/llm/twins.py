@@ -79,7 +79,14 @@ def _strength(level: str) -> str:
 
 
 TWO = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
-LAST = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+LAST = lambda n: f"array_to_string(string_split(name, '.')[-{n}:], '.')"
+ADDRESS = r"(regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') OR starts_with(name, '['))"
+
+
+def _spread(strength: str, above: str) -> str:
+    mean = f"((g + {strength} * above) / (n + {strength}))"
+    return f"({mean} * (1 - {mean}) + {strength} * {strength} / (n + {strength}) * {above}) / (n + {strength} + 1)"
+
 
 URL_REPUTATION = rf"""
 WITH p AS (
@@ -90,21 +97,28 @@ o AS (
   SELECT host, quality = 1 AND toxic = 0 AS good FROM p
   JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '/(\d{{1,18}})(?:\.html|/)?$', 1), '') AS BIGINT)
 ),
-h0 AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(good AS INT)) AS DOUBLE) AS g FROM o WHERE good IS NOT NULL GROUP BY host),
+h0 AS (SELECT host, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(g) AS DOUBLE) AS g, regexp_replace(host, ':[0-9]*$', '') AS name FROM (
+  SELECT host, 1 AS n, CAST(good AS INT) AS g FROM o WHERE good IS NOT NULL UNION ALL SELECT host, 0, 0 FROM p) GROUP BY host),
 h1 AS (
-  SELECT *, CASE WHEN {LAST(2)} IN ({TWO}) THEN {LAST(3)} ELSE {LAST(2)} END AS domain,
-    CASE WHEN {LAST(2)} IN ({TWO}) THEN {LAST(2)} ELSE {LAST(1)} END AS suffix FROM h0
+  SELECT host, n, g, CASE WHEN {ADDRESS} THEN name WHEN {LAST(2)} IN ({TWO}) THEN {LAST(3)} ELSE {LAST(2)} END AS domain,
+    CASE WHEN {ADDRESS} THEN '{url_reputation.ADDRESSES}' WHEN {LAST(2)} IN ({TWO}) THEN {LAST(2)} ELSE {LAST(1)} END AS suffix FROM h0
 ),
 top AS (SELECT (coalesce(sum(g), 0) + {url_reputation.DEFAULT_GOOD * url_reputation.DEFAULT_STRENGTH})
-  / (coalesce(sum(n), 0) + {url_reputation.DEFAULT_STRENGTH}) AS mean FROM h1),
-s1 AS (SELECT suffix, sum(n) AS n, sum(g) AS g, any_value(mean) AS above FROM h1, top GROUP BY suffix),
+  / (coalesce(sum(n), 0) + {url_reputation.DEFAULT_STRENGTH}) AS mean, coalesce(sum(n), 0) AS labels FROM h1),
+s1 AS (SELECT suffix, sum(n) AS n, sum(g) AS g, any_value(mean) AS above,
+  any_value(mean * (1 - mean) / (labels + {url_reputation.DEFAULT_STRENGTH} + 1)) AS unsure FROM h1, top GROUP BY suffix),
+s2 AS (SELECT s1.*, strength, {_spread('strength', 'unsure')} AS v FROM s1, {_strength('s1')}),
 d1 AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(g) AS g FROM h1 GROUP BY domain),
-d2 AS (SELECT d1.*, (s1.g - d1.g + strength * s1.above) / (s1.n - d1.n + strength) AS above
-  FROM d1 JOIN s1 USING (suffix), {_strength('s1')}),
-h2 AS (SELECT h1.*, (d2.g - h1.g + strength * d2.above) / (d2.n - h1.n + strength) AS above
-  FROM h1 JOIN d2 USING (domain), {_strength('d2')}),
-h3 AS (SELECT host, g + strength * above AS a, n - g + strength * (1 - above) AS b FROM h2, {_strength('h2')}),
-bad AS (SELECT host FROM h3 WHERE a / (a + b) + {url_reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {url_reputation.MIN_GOOD})
+d2 AS (SELECT d1.*, (s2.g - d1.g + strength * s2.above) / (s2.n - d1.n + strength) AS above,
+  {url_reputation.PRIOR_SHARE} * (s2.n - d1.n + strength) AS bound, s2.v AS suffix_v FROM d1 JOIN s2 USING (suffix)),
+d3 AS (SELECT d2.*, least(strength, bound) AS k FROM d2, {_strength('d2')}),
+d4 AS (SELECT d3.*, {_spread('k', 'suffix_v')} AS v FROM d3),
+h2 AS (SELECT h1.*, (d4.g - h1.g + k * d4.above) / (d4.n - h1.n + k) AS above,
+  {url_reputation.PRIOR_SHARE} * (d4.n - h1.n + k) AS bound, d4.v AS domain_v FROM h1 JOIN d4 USING (domain)),
+h3 AS (SELECT h2.*, least(strength, bound) AS k, above * (1 - above) AS own FROM h2, {_strength('h2')}),
+h4 AS (SELECT *, CASE WHEN n > 0 THEN k ELSE own / ((own + k * domain_v) / (k + 1)) - 1 END AS prior FROM h3),
+h5 AS (SELECT host, g + prior * above AS a, n - g + prior * (1 - above) AS b FROM h4),
+bad AS (SELECT host FROM h5 WHERE a / (a + b) + {url_reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {url_reputation.MIN_GOOD})
 SELECT page_id, host, path, {_rules()[0]} AS rule,
   coalesce({_rules()[1]}, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p

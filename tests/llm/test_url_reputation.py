@@ -64,3 +64,32 @@ def test_a_host_without_labels_is_judged_by_the_levels_above(spark):
 @pytest.mark.parametrize("excess, trials, want", [(None, None, 2.0), (-5.0, 100, 1000.0), (50.0, 100, 1.0), (10.0, 110, 10.0)])
 def test_strength(excess, trials, want):
     assert ur.strength_of(excess, trials) == pytest.approx(want)
+
+
+def levels_of(spark, hosts, rules=ur.TWO_LABEL_SUFFIXES):
+    table = spark.createDataFrame([(h,) for h in hosts], "host string")
+    found = table.select("host", ur.domain_of(F.col("host"), rules).alias("d"), ur.suffix_of(F.col("host"), rules).alias("s")).collect()
+    return {r["host"]: (r["d"], r["s"]) for r in found}
+
+
+def test_addresses_ports_and_suffix_rules(spark):
+    got = levels_of(spark, ["10.0.0.1", "99.7.0.1:8080", "a.com:80", "x.y.co.uk", "co.uk", "com", "", "[::1]:80"])
+    assert got == {
+        "10.0.0.1": ("10.0.0.1", ur.ADDRESSES), "99.7.0.1:8080": ("99.7.0.1", ur.ADDRESSES), "a.com:80": ("a.com", "com"),
+        "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "com": ("com", "com"), "": ("", ""), "[::1]:80": ("[::1]", ur.ADDRESSES),
+    }
+    rules = ("com", "*.ck", "!www.ck", "a.b.jp", "gov.au")
+    got = levels_of(spark, ["x.y.z.ck", "www.ck", "q.www.ck", "s.a.b.jp", "t.s.a.b.jp", "m.n.gov.au", "k.jp"], rules)
+    assert got == {
+        "x.y.z.ck": ("y.z.ck", "z.ck"), "www.ck": ("www.ck", "ck"), "q.www.ck": ("www.ck", "ck"), "s.a.b.jp": ("s.a.b.jp", "a.b.jp"),
+        "t.s.a.b.jp": ("s.a.b.jp", "a.b.jp"), "m.n.gov.au": ("n.gov.au", "gov.au"), "k.jp": ("k.jp", "jp"),
+    }
+
+
+def test_a_better_record_never_ranks_lower(spark):
+    rows = [(f"http://h{g}.d.org/", i < g) for g in range(11) for i in range(10)]
+    rows += [(f"http://x{i}.e{j}.org/", (i + j) % 3 > 0) for i in range(4) for j in range(6) for _ in range(5)]
+    table = spark.createDataFrame(rows, "url string, good boolean").select(ur.host_of(F.col("url")).alias("host"), "good")
+    found = {r["host"]: r["alpha"] / (r["alpha"] + r["beta"]) for r in ur.reputations(table)[0].collect()}
+    ranked = [found[f"h{g}.d.org"] for g in range(11)]
+    assert ranked == sorted(ranked) and len(set(ranked)) == 11
