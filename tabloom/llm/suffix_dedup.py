@@ -120,6 +120,9 @@ def phrases(data: np.ndarray, ends: np.ndarray, hashes: Hashes) -> tuple[np.ndar
 
 BLOBS = ("key", "content", "doc", "start", "size", "offset", "flag", "known_doc", "known_start", "known_size")
 KINDS = (np.uint32, np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8, np.int64, np.uint32, np.uint8)
+KIND = dict(zip(BLOBS, KINDS))
+# Sorting goes through a bucket in this many ranges, as a power of two.
+RANGE_BITS = 3
 ENTRIES = T.StructType([T.StructField("bucket", T.IntegerType())] + [T.StructField(n, T.BinaryType()) for n in BLOBS])
 # Flags: an entry dealt by trigger, one dealt by content, and the mark at a trigger that has several entries.
 PLAIN, DEALT, MARK = 0, 1, 2
@@ -160,7 +163,8 @@ def _entries(n_buckets: int):
                 sort = np.argsort(key, kind="stable")
                 key, rec, flag = key[sort], rec[sort], flag[sort]
                 bucket, rest = bucketed(key, n_buckets)
-                known = bucketed(trigger[later], n_buckets)[0]
+                # Later occurrences are final; by document they make no bucket hot.
+                known = bucketed(mixed(doc[later].astype(np.uint64)), n_buckets)[0]
                 order = np.argsort(known, kind="stable")
                 later, known = later[order], known[order]
                 edges = np.searchsorted(bucket, np.arange(n_buckets + 1)).tolist()
@@ -186,16 +190,30 @@ MARKS = T.StructType(
 
 
 def _dictionary(group: pa.Table) -> pa.Table:
-    """Of a bucket: spans of phrases that occur earlier, and those entries (``ask``) whose trigger has others."""
-    parts = {n: [unplaned(x, k) for x in group[n].to_pylist()] for n, k in zip(BLOBS, KINDS)}
-    key = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in parts["key"]])
-    content, doc, start, size, offset, flag = (np.concatenate(parts[n]) for n in BLOBS[1:7])
+    """Of a bucket: spans of phrases that occur earlier, and those entries (``ask``) whose trigger has others.
+
+    One range of keys is sorted at a time.
+    """
+    column = lambda n: np.concatenate([unplaned(x, KIND[n]) for x in group[n].to_pylist()])
+    key = np.concatenate([np.cumsum(unplaned(x, np.uint32), dtype=np.uint32) for x in group["key"].to_pylist()])
+    held = [column(n) for n in BLOBS[1:7]]
+    slot = (key >> np.uint32(32 - RANGE_BITS)).astype(np.uint8)
+    found = [_earlier(key[at], *[x[at] for x in held]) for r in range(1 << RANGE_BITS) if len(at := np.flatnonzero(slot == r))]
+    del key, held, slot
+    known = [column(n) for n in BLOBS[7:]]
+    starts = known[1].astype(np.int64)
+    none = np.zeros(len(starts), np.int64)
+    found.append((known[0], starts, starts + known[2] + LENGTH - 1, none, none > 0))
+    return pa.table({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(MARKS.names)})
+
+
+def _earlier(key, content, doc, start, size, offset, flag) -> tuple[np.ndarray, ...]:
     order = np.lexsort((start, doc, flag == MARK, content, key))
     key, content, doc, start, size, offset, flag = (x[order] for x in (key, content, doc, start, size, offset, flag))
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-    new = new_key | np.concatenate([[True], content[1:] != content[:-1]])[: len(key)]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    new = new_key | np.concatenate([[True], content[1:] != content[:-1]])
     group_of = np.cumsum(new_key) - 1
-    several = (np.bincount(group_of, new) > 1) | (np.bincount(group_of, flag > 0) > 0) if len(key) else np.zeros(0, bool)
+    several = (np.bincount(group_of, new) > 1) | (np.bincount(group_of, flag > 0) > 0)
     real = flag != MARK
     ask = new & real & several[group_of]
     # Equal rows have equal places: they are one occurrence and none repeats the other.
@@ -203,13 +221,8 @@ def _dictionary(group: pa.Table) -> pa.Table:
     lead = np.flatnonzero(new)
     same = (doc == doc[lead][entry]) & (start == start[lead][entry])
     out = ask | (real & ~same)
-    known = [np.concatenate(parts[n]) for n in BLOBS[7:]]
-    docs = np.concatenate([doc[out], known[0]])
-    starts = np.concatenate([start[out], known[1]]).astype(np.int64)
-    stops = starts + np.concatenate([size[out], known[2]]) + LENGTH - 1
-    none = np.zeros(len(known[0]), np.int64)
-    offsets, asks = np.concatenate([offset[out], none]).astype(np.int64), np.concatenate([ask[out], none > 0])
-    return pa.table({"doc": docs, "start": starts, "stop": stops, "offset": offsets, "ask": asks})
+    starts = start[out].astype(np.int64)
+    return doc[out], starts, starts + size[out] + LENGTH - 1, offset[out].astype(np.int64), ask[out]
 
 
 SUFFIXES = T.StructType(
@@ -254,32 +267,38 @@ def _sort_suffixes(group: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(parts), np.uint8)
     base = np.cumsum(sizes) - sizes
     counts = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(parts)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), counts)
+    offset = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
     place = base[owner] + offset
     hashes = Hashes(len(data))
     value = hashes.parts(hashes.sums(data), place, place + LENGTH)
     del hashes
-    doc, start = group["doc"].to_numpy()[owner], group["start"].to_numpy()[owner] + offset
-    order = np.lexsort((start, doc, value))
-    new = np.concatenate([[True], value[order][1:] != value[order][:-1]])[: len(order)]
-    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    again = np.zeros(len(order), bool)
-    strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    for at in range(0, len(order), 1 << 16):
-        x, y = order[at : at + (1 << 16)], lead[at : at + (1 << 16)]
-        far = (x != y) & ((doc[x] != doc[y]) | (start[x] != start[y]))
-        x, y = x[far], y[far]
-        equal = (strings[place[x]] == strings[place[y]]).all(1)
-        if not equal.all():
-            raise ArithmeticError("two different strings have one 64-bit hash; change BASE")
-        again[x] = True
+    docs, starts = group["doc"].to_numpy(), group["start"].to_numpy()
+    again = np.zeros(len(value), bool)
+    strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH) if len(data) >= LENGTH else None
+    slot = (value >> np.uint64(64 - RANGE_BITS)).astype(np.uint8)
+    # One range of hashes is sorted at a time.
+    for r in range(1 << RANGE_BITS):
+        at = np.flatnonzero(slot == r)
+        doc, start = docs[owner[at]], starts[owner[at]] + offset[at]
+        order = np.lexsort((start, doc, value[at]))
+        at, doc, start = at[order], doc[order], start[order]
+        new = np.concatenate([[True], np.diff(value[at]) != 0])[: len(at)]
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        far = np.flatnonzero((np.arange(len(at)) != lead) & ((doc != doc[lead]) | (start != start[lead])))
+        for first in range(0, len(far), 1 << 16):
+            x = far[first : first + (1 << 16)]
+            if not (strings[place[at[x]]] == strings[place[at[lead[x]]]]).all():
+                raise ArithmeticError("two different strings have one 64-bit hash; change BASE")
+            again[at[x]] = True
+    del value, slot
     hit = np.flatnonzero(again)
     if not len(hit):
         return pa.table({n: pa.array([], pa.int64()) for n in SPANS.names})
     cutoff = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)])
     first, last = hit[cutoff], hit[np.concatenate([cutoff[1:], [True]])]
-    return pa.table({"doc": doc[first], "start": start[first], "stop": start[last] + LENGTH})
+    begin, end = starts[owner[first]] + offset[first], starts[owner[last]] + offset[last]
+    return pa.table({"doc": docs[owner[first]], "start": begin, "stop": end + LENGTH})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
