@@ -75,11 +75,10 @@ class Fits:
 
     def _views(self, stages: Pipeline) -> tuple[tuple, Views]:
         *prefix, model = stages.getStages()
-        key = (tuple(map(signature, prefix)), model.getOrDefault("maxBins"))
+        get = model.getOrDefault
+        key = (tuple(map(signature, prefix)), get("labelCol"), get("featuresCol"), get("maxBins"))
         if key not in self.views:
-            self.views[key] = encode_views(
-                self.table, self.id_col, self.label, self.choices, Pipeline(stages=prefix), model.getOrDefault("featuresCol"), key[1]
-            )
+            self.views[key] = encode_views(self.table, self.id_col, key[1], self.choices, Pipeline(stages=prefix), key[2], key[3])
         return key, self.views[key]
 
     def _plan(self, stages: Pipeline, choice: int) -> tuple[tuple, Chain | Forest]:
