@@ -12,12 +12,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tabloom.catalog.base import fold_sql, from_houses, from_passengers, register, written_features
+from tabloom.catalog.base import features, fold_sql, from_houses, from_passengers, register, written_features
 from tabloom.functions.numeric import prob_at_one
 from tabloom.operators.folds import holdout, with_folds
 from tabloom.plans import experiments as ex
 from tabloom.plans import grids, house, views
 from tabloom.plans.boost import best_splits, histogram
+from tabloom.plans.fits import Fits
 from tabloom.plans.stages import baseline_stages, house_stages
 from tabloom.runtime import in_fixed_order, materialize, together
 from tabloom.sources.sinks import classification_output
@@ -33,17 +34,19 @@ def _predict(spark, sf_dir, stages):
 
 
 def _predict_all(spark, sf_dir, candidates):
-    """Every candidate of a grid, fitted on the labelled rows; its predictions of the others."""
+    """Every candidate of a grid, fitted on the labelled rows; its predictions of the others. Candidates share what they can."""
     train, test = written_features(spark, sf_dir)
-    layout = in_fixed_order(train, ex.ID)
+    fits = Fits(train, [], ex.ID, ex.LABEL)
+    fits.grow([c.stages for c in candidates], [fits.every])
 
     def predict(position, candidate):
-        scored = candidate.stages.fit(layout).transform(test)
+        scored = fits.model(candidate.stages, fits.every).transform(test)
         named = F.lit(position).alias("grid_pos"), F.lit(candidate.name).alias("candidate")
         return scored.select(*named, "PassengerId", "prediction", prob_at_one(F.col("probability")).alias("p"))
 
-    fits = [partial(predict, i, c) for i, c in enumerate(candidates)]
-    return ex.union_all(together(spark, fits, ex.FITS_AT_ONCE))
+    first = predict(0, candidates[0])
+    others = [partial(predict, i, c) for i, c in enumerate(candidates) if i]
+    return ex.union_all([first, *together(spark, others, ex.FITS_AT_ONCE)])
 
 
 @register("pipe_tree")
@@ -97,6 +100,42 @@ def boost_class_grid(spark, sf_dir):
     return _predict_all(spark, sf_dir, grids.boost_grid())
 
 
+# Models of a planted target, which SQL can state: every kind of classifier must find the rule.
+PLANTED_CLASS = """SELECT PassengerId, unnest(['forest', 'residuals', 'second_order', 'linear']) AS model,
+  CASE WHEN Sex = 'female' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM p WHERE Survived IS NULL"""
+
+
+@register("planted_class", from_passengers(PLANTED_CLASS))
+def planted_class(spark, sf_dir):
+    """The first candidates of all grids, fitted on labels that are a function of one category, on the unlabelled rows."""
+    train, test = features(spark, sf_dir)
+    train = materialize(train.withColumn(ex.LABEL, F.when(F.col("Sex") == "female", 1).otherwise(0)), "planted")
+    firsts = {
+        "forest": grids.rf_grid()[0], "residuals": grids.gbt_grid()[0], "second_order": grids.boost_grid()[0], "linear": grids.lr_grid()[0],
+    }
+    fits = Fits(train, [], ex.ID, ex.LABEL)
+    models = fits.all_models({name: c.stages for name, c in firsts.items()}, fits.every)
+    test = materialize(test, "features")
+    scored = [m.transform(test).select("PassengerId", F.lit(name).alias("model"), "prediction") for name, m in models.items()]
+    return ex.union_all(scored)
+
+
+PLANTED_PRICE = """SELECT Id, unnest(['gbt', 'xgb']) AS model, round(ln(1 + 50000.0::DOUBLE * OverallQual), 2) AS prediction FROM h"""
+
+
+@register("planted_price", from_houses(PLANTED_PRICE))
+def planted_price(spark, sf_dir):
+    """Both boosters, fitted on prices that are a function of one number, on all rows."""
+    rows = views.houses(spark, sf_dir, dealt=True).withColumn("SalePrice", F.col("OverallQual") * 50000.0)
+    prepared = ex.prepare_houses(rows)
+    table = materialize(prepared.train, "planted")
+    fits = Fits(table, [], house.ID, house.LABEL)
+    settings = {"gbt": {"iterations": 100}, "xgb": {"rounds": 60, "eta": 0.3}}
+    models = fits.all_models({a: house_stages(prepared.roles, a, **s) for a, s in settings.items()}, fits.every)
+    scored = [m.transform(table).select("Id", F.lit(a).alias("model"), F.round("prediction", 2).alias("prediction")) for a, m in models.items()]
+    return ex.union_all(scored)
+
+
 def _price(spark, sf_dir, algorithm, **settings):
     """Fit on a holdout's training rows, predict its validation rows."""
     prepared = ex.prepare_houses(views.houses(spark, sf_dir, dealt=True))

@@ -169,7 +169,9 @@ class HistogramBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultPa
     def model_of(self, trees: Trees, cuts: Sequence[np.ndarray], start: float) -> BoostedTreesModel:
         model = BoostedTreesModel()
         self._copyValues(model)
-        return model._set(trees=as_dicts(trees[: self.getOrDefault("rounds")], list(cuts)), start=float(start))
+        own = trees[: self.getOrDefault("rounds")]
+        model.held = own, list(cuts)
+        return model._set(trees=as_dicts(own, list(cuts)), start=float(start))
 
     def _fit(self, dataset: DataFrame) -> BoostedTreesModel:
         chain = self.chain()
@@ -231,10 +233,12 @@ class BoostedTreesModel(Model, _BoostParams, DefaultParamsReadable, DefaultParam
     def __init__(self):
         super().__init__()
         self._defaults()
+        # The arrays and cuts of a model just fitted; one that is read again takes them from its parameters.
+        self.held: tuple[Trees, list[np.ndarray]] | None = None
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault
-        sums = _Scored(*from_dicts(get("trees"))).sums(dataset, get("featuresCol"))
+        sums = _Scored(*(self.held or from_dicts(get("trees")))).sums(dataset, get("featuresCol"))
         scored = dataset.withColumn("__margin", F.lit(get("start")) + sums)
         out, objective = get("predictionCol"), get("objective")
         if objective in (SQUARED, RESIDUAL):
@@ -300,6 +304,7 @@ class HistogramForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
         own.feature[:, nodes // 2 :], own.bin[:, nodes // 2 :], own.missing_left[:, nodes // 2 :] = -1, 0, False
         model = ForestModel()
         self._copyValues(model)
+        model.held = own, list(cuts)
         return model._set(trees=own.packed(), cuts=[";".join(map(repr, c.tolist())) for c in cuts])
 
     def _fit(self, dataset: DataFrame) -> ForestModel:
@@ -319,11 +324,12 @@ class ForestModel(Model, _ForestParams, DefaultParamsReadable, DefaultParamsWrit
     def __init__(self):
         super().__init__()
         self._defaults()
+        self.held: tuple[Trees, list[np.ndarray]] | None = None
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault
-        cuts = [np.array([float(x) for x in c.split(";") if x]) for c in get("cuts")]
-        trees = Trees.unpacked(get("trees"))
+        stored = lambda: (Trees.unpacked(get("trees")), [np.array([float(x) for x in c.split(";") if x]) for c in get("cuts")])
+        trees, cuts = self.held or stored()
         mean = _Scored(trees, cuts).sums(dataset, get("featuresCol")) / F.lit(float(len(trees)))
         scored = dataset.withColumn("__p", mean)
         out = get("predictionCol")

@@ -104,7 +104,7 @@ class Fits:
                 plan = replace(plan, rounds=most[0]) if isinstance(plan, Chain) else replace(plan, trees=most[0], depth=most[1])
             needed[place] = plan
         missing = {p: g for p, g in needed.items() if p not in self.grown or not self._enough(self.grown[p], g)}
-        # Boosters of one choice share their jobs; choices and forests run side by side.
+        # Boosters of one choice and depth share their jobs; these and forests run side by side.
         tasks: list[Callable[[], list[tuple[tuple, Trees]]]] = []
         chains: dict[tuple, list[tuple[tuple, Chain]]] = {}
         for place, plan in missing.items():
@@ -112,14 +112,14 @@ class Fits:
                 chains.setdefault(self._jobs_of(place[0], plan), []).append((place, plan))
             else:
                 tasks.append(partial(self._one_forest, place, plan))
-        tasks = [partial(self._some_chains, key, own) for (key, _), own in chains.items()] + tasks
-        for found in together(self.table.sparkSession, tasks, 2 * self.at_once):
+        tasks = [partial(self._some_chains, key, own) for (key, *_), own in chains.items()] + tasks
+        for found in together(self.table.sparkSession, tasks, 3 * self.at_once):
             self.grown.update(found)
         self.fitted += len(missing)
 
     def _jobs_of(self, key: tuple, plan: Chain) -> tuple:
-        """Chains of the same jobs: those of one encoding and choice, so that choices run side by side."""
-        return key, plan.view
+        """Chains of the same jobs: those of one encoding, choice and number of levels; the others run side by side."""
+        return key, plan.view, plan.depth
 
     def _enough(self, trees: Trees, plan: Chain | Forest) -> bool:
         count, depth = size_of(plan)

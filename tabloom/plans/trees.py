@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import io
 import json
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,12 +96,12 @@ class Trees:
     def packed(self) -> str:
         """All arrays as text, for a model's store."""
         held = io.BytesIO()
-        np.savez_compressed(held, feature=self.feature, bin=self.bin, missing_left=self.missing_left, value=self.value)
-        return base64.b64encode(held.getvalue()).decode()
+        np.savez(held, feature=self.feature, bin=self.bin, missing_left=self.missing_left, value=self.value)
+        return base64.b64encode(zlib.compress(held.getvalue(), 1)).decode()
 
     @staticmethod
     def unpacked(text: str) -> Trees:
-        held = np.load(io.BytesIO(base64.b64decode(text)))
+        held = np.load(io.BytesIO(zlib.decompress(base64.b64decode(text))))
         return Trees(held["feature"], held["bin"], held["missing_left"], held["value"])
 
 
