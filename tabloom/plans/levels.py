@@ -209,28 +209,59 @@ class Growing:
         return out
 
 
-def level_sums(blocks: Iterator[Block], work: list[Growing], width: list[int]) -> Iterator[tuple]:
-    """Sums of gradients per node of every growing tree: ((column, first node), sums of some nodes)."""
+@dataclass
+class Standing:
+    """Where the rows of a tree stand: their bins, the histogram cells of their features, gradients and nodes."""
+
+    number: int
+    bins: np.ndarray
+    cells: np.ndarray
+    g: np.ndarray
+    h: np.ndarray | None
+    node: np.ndarray
+
+    def of(self, keep: np.ndarray) -> Standing:
+        h = None if self.h is None else self.h[keep]
+        return Standing(self.number, self.bins[keep], self.cells[keep], self.g[keep], h, self.node[keep])
+
+
+def standing(block: Block, w: Growing, bins: int) -> Standing:
+    chain = w.chain
+    chosen = block["trains"][:, chain.view]
+    if chain.row_sample < 1.0:
+        chosen = chosen & (share_of(block["key"], chain.seed, w.number) < chain.row_sample)
+    rows = np.flatnonzero(chosen)
+    own = block["bins"][chain.view][rows]
+    g, h = chain.gradients(block["y"][rows], block["margins"][rows, w.column], w.number, w.scale)
+    node = w.tree.places(own, w.level)[:, 0] if w.level else np.zeros(len(rows), np.int64)
+    return Standing(w.number, own, own[:, w.features] + np.arange(len(w.features), dtype=np.int64) * bins, g, h, node)
+
+
+def level_sums(blocks: Iterator[Block], work: list[Growing], width: list[int], memory: dict | None = None) -> Iterator[tuple]:
+    """Sums of gradients per node of every growing tree: ((column, first node), sums of some nodes).
+
+    ``memory`` keeps where rows stand from level to level, for a task that sees all levels.
+    """
     sums = {w.column: np.zeros((2, len(w.open), len(w.features), width[w.chain.view])) for w in work}
-    for block in blocks:
+    for number, block in enumerate(blocks):
         for w in work:
-            chain, bins = w.chain, width[w.chain.view]
-            chosen = block["trains"][:, chain.view]
-            if chain.row_sample < 1.0:
-                chosen = chosen & (share_of(block["key"], chain.seed, w.number) < chain.row_sample)
-            rows = np.flatnonzero(chosen)
-            own = block["bins"][chain.view][rows]
-            slot = np.zeros(len(rows), np.int64)
-            if w.level:
-                place = w.tree.places(own, w.level)[:, 0] - (2**w.level - 1)
-                slot = np.where(place >= 0, w.slots()[np.maximum(place, 0)], -1)
-                rows, own, slot = rows[slot >= 0], own[slot >= 0], slot[slot >= 0]
-            g, h = chain.gradients(block["y"][rows], block["margins"][rows, w.column], w.number, w.scale)
-            count = len(w.features)
-            cell = ((slot[:, None] * count + np.arange(count)) * bins + own[:, w.features]).ravel()
+            bins, count = width[w.chain.view], len(w.features)
+            held = memory.get((number, w.column)) if memory is not None else None
+            if held is None or held.number != w.number:
+                held = standing(block, w, bins)
+            else:
+                held.node = w.tree.step(held.bins, np.arange(len(held.node)), held.node)
+            place = held.node - (2**w.level - 1)
+            slot = np.where(place >= 0, w.slots()[np.maximum(place, 0)], -1)
+            if (slot < 0).any():
+                # Rows at a leaf are done.
+                held, slot = held.of(slot >= 0), slot[slot >= 0]
+            if memory is not None:
+                memory[number, w.column] = held
+            cell = (held.cells + (slot * (count * bins))[:, None]).ravel()
             into, size = sums[w.column], len(w.open) * count * bins
-            into[0] += np.bincount(cell, np.repeat(g, count), size).reshape(into.shape[1:])
-            into[1] += np.bincount(cell, None if h is None else np.repeat(h, count), size).reshape(into.shape[1:])
+            into[0] += np.bincount(cell, np.repeat(held.g, count), size).reshape(into.shape[1:])
+            into[1] += np.bincount(cell, None if held.h is None else np.repeat(held.h, count), size).reshape(into.shape[1:])
     for column, whole in sums.items():
         for first in range(0, whole.shape[1], NODES_TOGETHER):
             yield (column, first), whole[:, first : first + NODES_TOGETHER]
@@ -309,8 +340,9 @@ class Setting:
 def rounds_here(blocks: Iterator[Block], setting: Setting, numbers: range) -> Iterator[tuple]:
     """Rounds of a table's only partition: (number, column, view, arrays of the tree)."""
     held = list(blocks)
+    memory: dict = {}
     for number in numbers:
-        ask = lambda growing: list(level_splits(level_sums(iter(held), growing, setting.width), setting.limits))
+        ask = lambda growing: list(level_splits(level_sums(iter(held), growing, setting.width, memory), setting.limits))
         done = setting.round(number, ask)
         held = list(with_trees(iter(held), done))
         for column, view, tree in done:
