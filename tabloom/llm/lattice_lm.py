@@ -1,12 +1,20 @@
-"""Document likelihood under a subword lattice, with a word model beside it as a base.
-
-The scores of an existing vocabulary weight every cut of a word into pieces:
-a piece has probability exp(score / scale) / sum, and a text is a sequence of
-pieces and one end. No piece reaches over a word's end, so the marginal over
-all cuts of a text is the product over its words, each by a forward recursion
-in log space. Words are walked as a sorted trie: a prefix's forward value is
-computed once. Only the scale and the share of ends are learned, by maximum
-likelihood over all training words on a fixed grid.
+"""Document likelihood under a lattice of words and subwords, with a word model beside it as a base.
+
+Every cut of a word into pieces of an existing vocabulary is a path of the
+lattice, and a word of the training texts is one more piece: itself. A training
+word of count c weighs (c - D) / N, with N training words in all; what the
+discount D takes from the V distinct ones, D * V / N, is the weight of the
+paths of subwords, of known and unknown words alike. No piece reaches over a
+word's end, so the marginal over all cuts of a text is the product over its
+words, each by a forward recursion in log space. Words are walked as a sorted
+trie: a prefix's forward value is computed once.
+
+All weights are learned from the training texts: counts of words; D from how
+many occur once and twice; the share of ends; and the pieces' weights by a step
+of expectation and maximisation over the distinct training words. It starts from
+the vocabulary's scores, which are ranks: the mean of exp(score / scale) / sum
+over a grid of scales. The expected uses are the derivatives of the forward
+values, carried back over the same trie.
 
 A text is scored as its sequence of lower-cased words and one end, the events
 of the base model too. Characters without a piece are spelled in byte pieces.
@@ -14,17 +22,19 @@ of the base model too. Characters without a piece are spelled in byte pieces.
 1. Each batch of documents is counted once: its words go to buckets by hash,
    its counts per document stay together. Nothing is gathered per document.
 2. Buckets add up the training counts of their words (a word is one entry per
-   batch there, however frequent) and the grid's likelihood of them.
+   batch there, however frequent) and the expected uses of pieces.
 3. Buckets send each batch the two scores of its words; the batch's counts are
    multiplied with them. Every group is a batch or a bucket, bounded by bytes.
 
 Null and empty texts have no words and score their end alone. A null id is in
 training. Repeated rows are documents each. Without training documents the
-base is uniform and the scale is the largest of the grid.
+base is uniform, and words have the paths of subwords alone.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,35 +59,52 @@ SCALES = (500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0)
 NO_WEIGHT = -1e6
 
 
-class Lattice:
-    """Log weights of pieces and bytes for each of several scales, normalised over all of them."""
+# Occurrences of the start's pieces that the learned weights are smoothed with, and parts of one use that are counted.
+PRIOR = 2000.0
+USES = 1 << 20
 
-    def __init__(self, pieces: Pieces, scales: tuple[float, ...] = SCALES) -> None:
-        self.pieces, self.scales = pieces, np.array(scales)
-        scores = {p: s for p, (s, _) in pieces.ids.items() if s > NO_WEIGHT}
-        lowest = min(scores.values())
-        every = np.array([*scores.values(), *[lowest] * 256])[:, None] / self.scales
-        total = every.max(0) + np.log(np.exp(every - every.max(0)).sum(0))
-        self.weights = {p: s / self.scales - total for p, s in scores.items()}
-        self.byte = lowest / self.scales - total
-        self.steps: dict[str, tuple[str, list[tuple[int, np.ndarray]]]] = {}
 
-    def step(self, context: str) -> tuple[str, list[tuple[int, np.ndarray]]]:
+class Walk:
+    """A walk over sorted words for one log weight of each piece and of a byte."""
+
+    def __init__(self, pieces: Pieces, weights: dict[str, float], byte: float) -> None:
+        self.pieces, self.weights, self.byte = pieces, weights, byte
+        # Per end of a prefix that begins a piece: what it goes on as, and (length, log weight, piece or bytes) of the last pieces.
+        self.steps: dict[str, tuple[str, list[tuple[int, float, str | int]]]] = {}
+
+    def step(self, context: str) -> tuple[str, list[tuple[int, float, str | int]]]:
         state, _ = self.pieces.step(context)
-        ends = [(len(context) - i, self.weights[context[i:]]) for i in range(len(context)) if context[i:] in self.weights]
+        ends: list = [(len(context) - i, self.weights[context[i:]], context[i:]) for i in range(len(context)) if context[i:] in self.weights]
         if context[-1] not in self.weights:
-            letter = MARK if context[-1] == "\0" else context[-1]
-            ends.append((1, self.byte * len(letter.encode())))
+            size = len((MARK if context[-1] == "\0" else context[-1]).encode())
+            ends.append((1, self.byte * size, size))
         return state, ends
 
-    def log_probabilities(self, words: Iterable[str]) -> np.ndarray:
-        """The marginal natural-log probability of each word behind a space mark, per scale; words are sorted."""
-        steps, step, add = self.steps, self.step, np.logaddexp
-        forward, states, last, out = [np.zeros(len(self.scales))], [""], "", []
+    def run(self, words: Iterable[str], uses: Counter | None = None) -> list[float]:
+        """The marginal natural-log probability of each word behind a space mark; ``uses`` adds up what is expected of each piece."""
+        steps, step, exp, log = self.steps, self.step, math.exp, math.log
+        forward, states, paths, last, out = [0.0], [""], [None], "", []
+        # The derivative of all words' values by each forward value on the path.
+        slope = [0.0]
+
+        def back(depth: int) -> None:
+            """Carry the slopes beyond ``depth`` to the pieces and the prefixes before them."""
+            for at in range(len(forward) - 1, depth, -1):
+                here, value = slope[at], forward[at]
+                for size, weight, piece in paths[at]:
+                    share = here * exp(forward[at - size] + weight - value)
+                    slope[at - size] += share
+                    if type(piece) is str:
+                        uses[piece] += share
+                    else:
+                        uses[""] += share * piece
+
         for word in words:
             marked = MARK + word.replace(MARK, "\0")
             depth = common_prefix(last, marked)
-            del forward[depth + 1 :], states[depth + 1 :]
+            if uses is not None:
+                back(depth)
+            del forward[depth + 1 :], states[depth + 1 :], paths[depth + 1 :], slope[depth + 1 :]
             state = states[depth]
             for letter in marked[depth:]:
                 depth += 1
@@ -85,15 +112,63 @@ class Lattice:
                 if found is None:
                     found = steps[state + letter] = step(state + letter)
                 state, ends = found
-                size, weight = ends[0]
-                value = forward[depth - size] + weight
-                for size, weight in ends[1:]:
-                    value = add(value, forward[depth - size] + weight)
-                forward.append(value)
+                if len(ends) == 1:
+                    forward.append(forward[depth - ends[0][0]] + ends[0][1])
+                else:
+                    values = [forward[depth - size] + weight for size, weight, _ in ends]
+                    top, total = max(values), 0.0
+                    for value in values:
+                        total += exp(value - top)
+                    forward.append(top + log(total))
                 states.append(state)
+                paths.append(ends)
+                slope.append(0.0)
+            slope[depth] += 1.0
             last = marked
             out.append(forward[depth])
-        return np.array(out).reshape(-1, len(self.scales))
+        if uses is not None:
+            back(0)
+        return out
+
+
+class Lattice:
+    """Log weights of pieces and bytes for each of several scales, normalised over all of them."""
+
+    def __init__(self, pieces: Pieces, scales: tuple[float, ...] = SCALES) -> None:
+        self.pieces, self.scales = pieces, np.array(scales)
+        scores = {p: s for p, (s, _) in pieces.ids.items() if s > NO_WEIGHT}
+        lowest = min(scores.values())
+        every = np.array([*scores.values(), *[lowest] * 256])[:, None] / self.scales
+        total = every.max(0) + np.log(np.exp(every - every.max(0)).sum(0))
+        self.weights = {p: s / self.scales - total for p, s in scores.items()}
+        self.byte = lowest / self.scales - total
+
+    def log_probabilities(self, words: Iterable[str]) -> np.ndarray:
+        """The marginal natural-log probability of each word behind a space mark, per scale; words are sorted."""
+        words = list(words)
+        walks = [Walk(self.pieces, {p: float(w[i]) for p, w in self.weights.items()}, float(self.byte[i])) for i in range(len(self.scales))]
+        return np.array([walk.run(words) for walk in walks]).reshape(len(walks), len(words)).T
+
+    def start(self) -> np.ndarray:
+        """Log weights of all pieces, and of a byte last: the mean probability over the scales."""
+        every = np.array([*self.weights.values(), self.byte])
+        return np.log(np.exp(every).mean(1))
+
+
+def learned(start: np.ndarray, uses: dict[int, int]) -> np.ndarray:
+    """Log weights from the expected uses of pieces (the last are bytes), smoothed with the start."""
+    found = np.zeros(len(start))
+    for piece, times in uses.items():
+        found[piece] = times / USES
+    # All 256 bytes weigh the same.
+    found[-1] /= 256
+    size = np.append(np.ones(len(start) - 1), 256.0)
+    return np.log((found + PRIOR * np.exp(start)) / ((found * size).sum() + PRIOR))
+
+
+def walk_of(pieces: Pieces, logs: np.ndarray) -> Walk:
+    names = [p for p, (s, _) in pieces.ids.items() if s > NO_WEIGHT]
+    return Walk(pieces, dict(zip(names, logs.tolist())), float(logs[-1]))
 
 
 BATCHES = T.StructType(
@@ -152,29 +227,46 @@ def _vocabulary(group: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray]:
     return codes, [names[i] for i in order], np.bincount(codes, counts, len(names)).astype(np.int64)
 
 
-def _train(parts):
-    """Per bucket: training tokens, distinct ones, and the likelihood of them at each scale."""
+def _train(parts, start):
+    """Per bucket: training words, distinct ones, those that occur once and twice, and the expected uses of pieces by the distinct ones."""
 
     def run(group: pa.Table) -> pa.Table:
         _, names, counts = _vocabulary(group)
         known = np.flatnonzero(counts)
-        values = Lattice(Pieces(*parts.value)).log_probabilities([names[i] for i in known])
-        fit = (values * counts[known][:, None]).sum(0) if len(known) else np.zeros(len(SCALES))
-        return pa.table({"n": [int(counts.sum())], "v": [len(known)], "fit": pa.array([fit.tolist()], pa.list_(pa.float64()))})
+        uses: Counter = Counter()
+        walk = walk_of(Pieces(*parts.value), start.value)
+        walk.run([names[i] for i in known], uses)
+        place = {p: i for i, p in enumerate([*walk.weights, ""])}
+        used = {place[p]: round(x * USES) for p, x in uses.items()}
+        return pa.table({
+            "n": [int(counts.sum())], "v": [len(known)], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())],
+            "piece": pa.array([list(used)], pa.list_(pa.int32())), "uses": pa.array([list(used.values())], pa.list_(pa.int64())),
+        })
 
     return run
 
 
-TRAINED = T.StructType([T.StructField("n", T.LongType()), T.StructField("v", T.LongType()), T.StructField("fit", T.ArrayType(T.DoubleType()))])
+TRAINED = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("n", "v", "once", "twice")]
+    + [T.StructField("piece", T.ArrayType(T.IntegerType())), T.StructField("uses", T.ArrayType(T.LongType()))]
+)
 SCORED = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("bucket", T.IntegerType())] + [T.StructField(n, T.BinaryType()) for n in ("counts", "values")])
 
 
-def _score_words(parts, scale: float):
+def word_logs(counts: np.ndarray, cuts: np.ndarray, n: int, v: int, discount: float) -> np.ndarray:
+    """Log probabilities of words over all their paths: the word itself, if trained, and its ``cuts`` into subwords."""
+    if not n:
+        return cuts
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(counts - discount, 0.0) / n), np.log(discount * v / n) + cuts)
+
+
+def _score_words(parts, logs, n: int, v: int, discount: float):
     """Each batch's words of a bucket with the training count and the log probability of each."""
 
     def run(group: pa.Table) -> pa.Table:
         codes, names, counts = _vocabulary(group)
-        values = Lattice(Pieces(*parts.value), (scale,)).log_probabilities(names)[:, 0]
+        values = word_logs(counts, np.array(walk_of(Pieces(*parts.value), logs.value).run(names)), n, v, discount)
         counts, values = counts[codes], values[codes]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in group["words"].to_pylist()])]).tolist()
         return pa.table({
@@ -228,15 +320,18 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     size = docs.agg(F.sum(F.octet_length("text").cast("long")), F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()
     total, ends = size[0] or 0, size[1]
     n_buckets = max(24, -(-total // BUCKET_BYTES))
-    parts = spark.sparkContext.broadcast(load_pieces(path).parts())
+    pieces = load_pieces(path)
+    parts, start = spark.sparkContext.broadcast(pieces.parts()), spark.sparkContext.broadcast(Lattice(pieces).start())
     batches = materialize(docs.mapInArrow(_batches(n_buckets), BATCHES), "word-batches", partition_by=("kind",))
     words = batches.where("kind = 'words'").select("chunk", "bucket", "words", "counts")
-    trained = words.groupBy("bucket").applyInArrow(tidy(_train(parts)), TRAINED)
-    fits = [F.sum(F.col("fit")[i]) for i in range(len(SCALES))]
-    row = trained.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), *fits).first()
-    n, v, fit = row[0] + ends, row[1] + (ends > 0), [x if x is not None else 0.0 for x in row[2:]]
-    best = max(range(len(SCALES)), key=lambda i: (fit[i], i))
-    scored = words.groupBy("bucket").applyInArrow(tidy(_score_words(parts, SCALES[best])), SCORED)
+    trained = materialize(words.groupBy("bucket").applyInArrow(tidy(_train(parts, start)), TRAINED), "piece-uses")
+    row = trained.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]).first()
+    n, v = row[0] + ends, row[1] + (ends > 0)
+    # As many rows as the vocabulary has pieces.
+    uses = trained.select(F.explode(F.arrays_zip("piece", "uses")).alias("x")).groupBy("x.piece").agg(F.sum("x.uses")).collect()
+    logs = spark.sparkContext.broadcast(learned(start.value, dict(map(tuple, uses))))
+    discount = (row[2] + 1) / (row[2] + 2 * row[3] + 2)
+    scored = words.groupBy("bucket").applyInArrow(tidy(_score_words(parts, logs, row[0], row[1], discount)), SCORED)
     texts = batches.where("kind = 'texts'").select("chunk", "ids", "named", "starts", "codes", "times")
     sums = scored.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_score_texts(n, v, ends), TEXTS)
     # A word or an end comes next: the share of ends among both, learned from the training texts.

@@ -72,3 +72,50 @@ def test_scores_by_brute_force(spark):
 
 def test_empty_table(spark):
     assert lm.score_documents(documents(spark, [])).count() == 0
+
+
+def test_expected_uses_by_brute_force():
+    """The expected uses of a piece are the derivative of the words' values by its log weight."""
+    words = sorted(["the", "then", "theory", "日本", "a▁"])
+    start = lm.Lattice(PIECES).start()
+    uses = Counter()
+    values = lm.walk_of(PIECES, start).run(words, uses)
+    assert len(values) == len(words)
+    names = [*lm.walk_of(PIECES, start).weights, ""]
+    for piece in (MARK + "the", "the", "ory", "日", "e", ""):
+        step = np.zeros(len(start))
+        step[names.index(piece)] = 1e-6
+        slope = (sum(lm.walk_of(PIECES, start + step).run(words)) - sum(lm.walk_of(PIECES, start - step).run(words))) / 2e-6
+        assert math.isclose(uses[piece], slope, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_learned_weights_sum_to_one():
+    start = lm.Lattice(PIECES).start()
+    for uses in ({}, {5: 3 << 20, len(start) - 1: 7 << 20}):
+        logs = lm.learned(start, uses)
+        assert math.isclose(np.exp(logs[:-1]).sum() + 256 * math.exp(logs[-1]), 1)
+
+
+def test_scores_by_value(spark):
+    """A trained word is a piece of its own beside its cuts, so held-out scores stay near the base."""
+    rows = [(i, " ".join(f"word{(i * 7 + j) % 40}" for j in range(30))) for i in range(200)] + [(1000 + i, f"only{i} word1 word1") for i in range(50)]
+    got = {r["doc_id"]: r for r in lm.score_documents(documents(spark, rows)).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter(w for i, x in rows if not held(i) for w in x.split())
+    ends = sum(not held(i) for i, _ in rows)
+    n, v = sum(counts.values()), len(counts)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = (once + 1) / (once + 2 * twice + 2)
+    start, uses = lm.Lattice(PIECES).start(), Counter()
+    first = lm.walk_of(PIECES, start)
+    first.run(sorted(counts), uses)
+    place = {p: i for i, p in enumerate([*first.weights, ""])}
+    walk = lm.walk_of(PIECES, lm.learned(start, {place[p]: round(x * lm.USES) for p, x in uses.items()}))
+    for i, x in rows:
+        want = math.log10((ends + 1) / (n + ends + 2))
+        for w in x.split():
+            cuts = math.exp(walk.run([w])[0])
+            want += math.log10(max(counts[w] - discount, 0) / n + discount * v / n * cuts) + math.log10((n + 1) / (n + ends + 2))
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-6)
+    near = [r["score"] / r["base_score"] for r in got.values() if r["held_out"] and r["n_known"] == r["n_tokens"]]
+    assert near and max(near) < 1.1
