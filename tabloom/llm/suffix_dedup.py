@@ -157,7 +157,9 @@ def _entries(n_buckets: int):
                 several = np.bincount(np.cumsum(edge) - 1)[np.cumsum(edge) - 1] > 1
                 marks = np.flatnonzero(several & edge)
                 spread = mixed(trigger ^ (content * np.uint64(BASE)))
-                key = np.concatenate([np.where(several, spread[by], t), t[marks]])
+                # A trigger is the smallest hash of its neighbours; mixed again, triggers go evenly over the buckets.
+                even = mixed(t)
+                key = np.concatenate([np.where(several, spread[by], even), even[marks]])
                 rec = np.concatenate([by, by[marks]])
                 flag = np.concatenate([np.where(several, DEALT, PLAIN), np.full(len(marks), MARK)]).astype(np.uint8)
                 sort = np.argsort(key, kind="stable")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,3 +82,14 @@ def test_empty_table(spark):
 def test_whole_letters():
     raw = "aéb".encode()
     assert sd.whole_letters(raw, [(2, 4)]) == [(3, 4)] and sd.whole_letters(raw, [(0, 2)]) == [(0, 1)]
+
+
+def test_phrases_go_evenly_over_buckets(spark):
+    """Triggers are the smallest hashes of their neighbours; dealt as they are, most phrases met in the first buckets."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(4000))) for i in range(60)]
+    docs = documents(spark, rows).selectExpr("doc_id AS doc", "text")
+    sizes = Counter()
+    for row in docs.mapInArrow(sd._entries(24), sd.ENTRIES).select("bucket", "size").collect():
+        sizes[row["bucket"]] += len(row["size"])
+    assert len(sizes) == 24 and max(sizes.values()) < 2 * sum(sizes.values()) / 24
