@@ -180,3 +180,27 @@ def test_steps_go_on_where_a_run_ended(spark, tmp_path):
     assert again.table(spark, "second", 1, compute("second")).count() == 3
     assert made == ["first", "second", "second"]
     assert again.table(spark, "first", 2, compute("other")).count() == 3 and made[-1] == "other"
+
+
+def test_a_large_table_has_work_for_all_cores():
+    """900,000 rows were 4 partitions on any number of cores; small tables stay one."""
+    assert levels.partitions_for(900_000, 12) == 12 and levels.partitions_for(300_000, 12) == 5
+    assert levels.partitions_for(levels.PARTITION_ROWS, 12) == 1
+    assert levels.partitions_for(9_000_000, 12) == 35
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 30])
+def test_sums_added_up_by_the_driver_or_a_shuffle_give_the_same_trees(spark, rows, monkeypatch, direct):
+    chains = [levels.Chain("logistic", 0, 2, 3, 0.3), levels.Chain("squared", 1, 2, 3, 0.5, column_sample=0.7)]
+    one, _, _ = grown(rows, chains, [])
+    monkeypatch.setattr(levels, "PARTITION_ROWS", 200)
+    monkeypatch.setattr(levels, "BLOCK_ROWS", 64)
+    # Parts of one feature and of one node, so that the best of several parts is looked for.
+    monkeypatch.setattr(levels, "CELLS_TOGETHER", 1)
+    monkeypatch.setattr(levels, "DIRECT_BYTES", direct)
+    jobs = []
+    shuffled = levels.reduced
+    monkeypatch.setattr(levels, "reduced", lambda sums, keys=None: jobs.append(keys) or shuffled(sums, keys))
+    many, _, parts = grown(rows, chains, [])
+    assert parts > 1 and bool(jobs) == (direct == 0)
+    assert all(same(x, y) for x, y in zip(one, many))
