@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.base import bounded_batches, coded, cut, per_row, planes, release, split_words, tidy, unplaned
+from tabloom.llm.base import bounded_batches, bucketed, coded, cut, per_row, planes, release, split_words, tidy, unplaned
 from tabloom.llm.sentence_pieces import MARK, Pieces, common_prefix, load_pieces
 from tabloom.runtime import materialize
 
@@ -190,25 +190,31 @@ def _batches(n_buckets: int):
                 n = len(held)
                 words, rows = split_words(piece.column(2), lower=True)
                 codes, names = coded(words)
-                names = names.to_pylist()
-                home = np.array([xxhash.xxh3_64_intdigest(w.encode()) * n_buckets >> 64 for w in names], np.int64)
+                digests = np.fromiter(map(xxhash.xxh3_64_intdigest, names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
+                home, _ = bucketed(digests, n_buckets)
                 # Words by bucket, then by text: each bucket's part is sorted.
-                order = np.array(sorted(range(len(names)), key=lambda i: (home[i], names[i])), np.int64)
+                by_text = pc.sort_indices(names).to_numpy()
+                order = by_text[np.argsort(home[by_text], kind="stable")]
                 rank = np.empty(len(names), np.int64)
                 rank[order] = np.arange(len(names))
                 keys, times = np.unique(rows * max(len(names), 1) + rank[codes] if len(codes) else np.zeros(0, np.int64), return_counts=True)
                 of, ranks = keys // max(len(names), 1), keys % max(len(names), 1)
                 trained = np.bincount(ranks, np.where(held[of], 0, times), len(names)).astype(np.int64)
-                edges = np.searchsorted(home[order], np.arange(n_buckets + 1)).tolist()
+                edges = np.searchsorted(home[order], np.arange(n_buckets + 1))
                 starts = np.concatenate([[0], np.cumsum(per_row(of, n))])
-                out = [("words", chunk, b, [names[i] for i in order[x:y]], planes(trained[x:y]), None, None, None, None, None)
-                       for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+                full = np.flatnonzero(np.diff(edges))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edges[full], len(names)), pa.int32()), names.take(pa.array(order)))
                 ids = piece.column(0)
                 parts = (pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8), starts,
                          ranks.astype(np.uint32), times.astype(np.uint32))
-                out.append(("texts", chunk, -1, None, None, *[planes(x) for x in parts]))
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=BATCHES.names)
+                nothing = [None] * len(full)
+                columns = [
+                    pa.array(["words"] * len(full) + ["texts"], pa.string()), pa.array([chunk] * (len(full) + 1), pa.string()),
+                    pa.array([*full.tolist(), -1], pa.int32()), pa.concat_arrays([lists, pa.nulls(1, lists.type)]),
+                    pa.array([*[planes(trained[edges[b] : edges[b + 1]]) for b in full], None], pa.binary()),
+                    *[pa.array([*nothing, planes(x)], pa.binary()) for x in parts],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=BATCHES.names)
                 release()
 
     return run
