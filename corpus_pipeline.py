@@ -54,11 +54,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text's pieces, and whether decoding them gives the text back."""
-    decoded = sentence_pieces.encode_and_decode(docs, "text", "ids", "__decoded")
-    return decoded.select(
-        "doc_id", "lang", "source", "n_chars", "ids",
-        F.size("ids").cast("long").alias("n_tokens"), F.col("__decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    kept = ["doc_id", "lang", "source", "n_chars"]
+    encoded = sentence_pieces.encode_round_trip(docs, "text", "ids", "round_trip", keep=kept)
+    return encoded.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

@@ -141,8 +141,8 @@ MARKED = re.compile(r" *[^ \n]+|\n+| +")
 
 # Words whose ids a task keeps for its next batches; beyond that it begins anew.
 KEPT_WORDS = 120_000
-# Bytes of text encoded at once.
-CUT = 4 << 20
+# Bytes of text encoded at once: a worker holds all their words as Python strings.
+CUT = 1 << 20
 
 
 def encode_texts(texts: pa.Array, pieces: Pieces, kept: dict[str, list[int]] | None = None) -> pa.Array:
@@ -220,6 +220,29 @@ def encode_and_decode(
     return with_arrow(df, text, fields, prepare, CUT, keep)
 
 
+def encode_round_trip(
+    df: DataFrame, text: str = "text", ids: str = "ids", same: str = "round_trip", path: str | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``df`` with the ids of ``text`` and whether they decode to the very text (null to null); the decoded texts stay in the tasks."""
+    parts = df.sparkSession.sparkContext.broadcast(load_pieces(path).parts())
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(same, T.BooleanType())]
+
+    def prepare():
+        pieces, kept = Pieces(*parts.value), {}
+        surface = pa.array(pieces.surface, pa.binary())
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            lists = encode_texts(texts, pieces, kept)
+            decoded = decode_ids(lists, surface)
+            equal = pc.fill_null(pc.equal(decoded, texts), False)
+            return [lists, pc.or_(equal, pc.and_(pc.is_null(decoded), pc.is_null(texts)))]
+
+        return make
+
+    return with_arrow(df, text, fields, prepare, CUT, keep)
+
+
 def decode(
     df: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None, keep: list[str] | None = None
 ) -> DataFrame:
