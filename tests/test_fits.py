@@ -1,11 +1,13 @@
 """The number of fits of whole runs: none twice, and all that can be shared is shared."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.plans import experiments as ex
 from tabloom.plans import grids, passenger, views
-from tabloom.plans.fits import Fits, family
+from tabloom.plans.fits import Fits, family, signatures
 from tabloom.plans.steps import Steps
 from tabloom.runtime import materialize
 from tests.harness import DATA
@@ -86,3 +88,37 @@ def test_store_of_fits_needs_no_choices(spark, sides):
     train, _ = sides
     fits = Fits(train, [], ex.ID, ex.LABEL)
     assert fits.every == 0 and fits.rows(0).count() == train.count()
+
+
+def test_candidates_of_a_grid_share_their_encoders(spark):
+    """A default output column holds the stage's name; taken for a setting, it kept candidates from sharing anything."""
+    for grid in (grids.rf_grid(), grids.gbt_grid(), grids.boost_grid(), grids.lr_grid()):
+        assert len({signatures(c.stages)[:-1] for c in grid}) == 1
+        assert len({signatures(c.stages) for c in grid}) == len(grid)
+
+
+def test_encoded_rows_of_one_choice_are_held_at_a_time(spark, sides, monkeypatch):
+    """Vectors are as many as the table's rows in each fold; those of all folds at once filled the disk."""
+    train, _ = sides
+    fits, held, written = ex.folded_fits(train, 3), [], []
+    single, encoded = Fits._single_scores, Fits._encoded
+
+    def watched(self, *args):
+        held.append({key[-1] for key in self.prefixes})
+        return single(self, *args)
+
+    def kept(self, *args):
+        found = encoded(self, *args)
+        written.extend(files for _, _, *table in self.prefixes.values() for t in table for files in t.inputFiles())
+        return found
+
+    monkeypatch.setattr(Fits, "_single_scores", watched)
+    monkeypatch.setattr(Fits, "_encoded", kept)
+    lines = [c.stages for c in grids.lr_grid()[:2]]
+    scores = fits.out_of_choice(lines, range(3))
+    assert held == [{0}] * 2 + [{1}] * 2 + [{2}] * 2 and not fits.prefixes
+    assert written and not any(os.path.exists(f.removeprefix("file://")) for f in written)
+    assert scores.count() == 2 * train.count() and fits.fitted == 6
+    # What is fitted already needs no rows again.
+    written.clear()
+    assert fits.out_of_choice(lines, range(3)).count() == 2 * train.count() and fits.fitted == 6 and not written
