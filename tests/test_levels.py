@@ -204,3 +204,90 @@ def test_sums_added_up_by_the_driver_or_a_shuffle_give_the_same_trees(spark, row
     many, _, parts = grown(rows, chains, [])
     assert parts > 1 and bool(jobs) == (direct == 0)
     assert all(same(x, y) for x, y in zip(one, many))
+
+
+def test_sums_in_one_number_are_those_of_two(monkeypatch):
+    """Sums of gradients and rows travel as one number while they have room, and as two from the block on that has none."""
+    rng = np.random.default_rng(5)
+    chain, scale = levels.Chain("residual", 0, 3, 2, 0.5), 2.0**15
+
+    def blocks():
+        for n, far in ((300, 1.0), (200, 900.0), (100, 1.0)):
+            bins = np.asfortranarray(rng.integers(0, 6, (n, 3)).astype(np.uint8))
+            yield levels.Block(view=0, y=rng.normal(size=n) * far, key=np.arange(n, dtype=np.uint64), bins=bins, margins={0: np.zeros(n)})
+
+    held = list(blocks())
+    work = lambda: [levels.Growing(chain, 0, 1, scale, np.arange(3), Trees.empty(1, 2), np.zeros(1, np.int64))]
+    kinds = {}
+    for upto in (1, 2, 3):
+        ((key, sums),) = levels.level_sums(iter(held[:upto]), work(), [6])
+        kinds[upto] = isinstance(sums, tuple)
+        expected = np.zeros((2, 1, 3, 6))
+        for block in held[:upto]:
+            g = np.rint(-2.0 * block["y"] * scale) / scale
+            for f in range(3):
+                expected[0, 0, f] += np.bincount(block["bins"][:, f], g, 6)
+                expected[1, 0, f] += np.bincount(block["bins"][:, f], minlength=6)
+        assert key == (0, 0, 0, 0) and np.array_equal(levels.pair_of(sums), expected)
+    assert kinds[1]
+    monkeypatch.setattr(levels, "FLOAT_BITS", 40)
+    ((_, sums),) = levels.level_sums(iter(held), work(), [6])
+    assert not isinstance(sums, tuple) and np.array_equal(levels.pair_of(sums), expected)
+
+
+def test_parts_of_sums_are_dealt_evenly():
+    """Numbers of first nodes are multiples of 64, which dealt by themselves all met in one of 8 tasks."""
+    nodes = [levels.number_of(first) % 8 for first in range(0, 64 * 64, levels.NODES_TOGETHER)]
+    assert [nodes.count(i) for i in range(8)] == [8] * 8
+    block = levels.Block(
+        view=0, y=np.zeros(4), key=np.arange(4, dtype=np.uint64), bins=np.zeros((4, 40), np.uint8, order="F"), margins={i: np.zeros(4) for i in range(3)}
+    )
+    work = [levels.Growing(levels.Chain("squared"), i, 0, 1.0, np.arange(40), Trees.empty(1, 6), np.zeros(1, np.int64)) for i in range(3)]
+    keys = [key for key, _ in levels.level_sums(iter([block]), work, [40000])]
+    assert len(keys) > 8 and [levels.number_of(k) for k in keys] == list(range(len(keys)))
+
+
+@pytest.mark.parametrize("rate", [0.3, 0.85, 1.0, 2.5])
+def test_draws_by_their_first_bits(rate):
+    """Draws looked up by 16 bits are those of the whole share, also where 16 bits do not tell."""
+    keys = np.arange(200_000, dtype=np.uint64)
+    steps = np.cumsum(np.exp(-rate) * np.cumprod(np.concatenate([[1.0], rate / np.arange(1, 16)])))
+    expected = np.searchsorted(steps, levels.share_of(keys, 7, 3), side="right")
+    found = levels.drawn(levels.hashed(keys, 7), 3, levels.draw_steps(rate))
+    assert np.array_equal(found, expected) and (levels.draw_steps(rate)[1] < 0).any()
+
+
+def test_a_model_reads_the_training_rows_of_its_view_only(spark, rows):
+    views = encode_views(rows, "id", "k", [F.col("fold") != 0, F.col("fold") != 1, F.lit(True)], stages_of(), max_bins=32)
+    counts = lambda chosen: sorted(views.training(chosen).map(lambda b: (b["view"], len(b["y"]), b["bins"].shape)).collect())
+    first = rows.where("fold <> 0").count()
+    assert counts([0]) == [(0, first, (first, 3))]
+    assert {(v, n) for v, n, _ in counts([1, 2])} == {(1, rows.where("fold <> 1").count()), (2, 700)}
+    assert set(views.training([0]).first()) == {"view", "y", "key", "bins"}
+
+
+def test_choices_of_a_large_table_share_their_jobs(spark, rows, monkeypatch):
+    """Three holdouts of 500 rounds were three times as many jobs; a table of one partition still has a task for each."""
+    choices = [F.col("fold") != f for f in range(3)]
+    asked, jobs = levels.asked, []
+    monkeypatch.setattr(levels, "asked", lambda state, growing, setting: jobs.append(len(growing)) or asked(state, growing, setting))
+    small = Fits(rows, choices, "id", "k", ["fold"], whole=False)
+    small.grow([boosted(2)], range(3))
+    assert not jobs and len(small.choices) == 3
+    monkeypatch.setattr(levels, "PARTITION_ROWS", 200)
+    monkeypatch.setattr(levels, "BLOCK_ROWS", 64)
+    large = Fits(rows, choices, "id", "k", ["fold"], whole=False)
+    large.grow([boosted(2)], range(3))
+    assert jobs == [3] * 4
+    assert all(same(trees, large.grown[place]) for place, trees in small.grown.items())
+    # Sums beyond a task's room are asked for in batches.
+    monkeypatch.setattr("tabloom.plans.fits.JOB_BYTES", 1)
+    jobs.clear()
+    more = Fits(rows, choices, "id", "k", ["fold"], whole=False)
+    more.grow([boosted(1)], range(3))
+    assert jobs == [1] * 6
+
+
+def test_partitions_of_the_largest_tables_follow_the_cores():
+    """54 million rows were 206 partitions on 12 cores, each with sums of its own to exchange."""
+    assert levels.partitions_for(54_000_000, 12) == 36 and levels.partitions_for(54_000_000, 120) == 206
