@@ -291,3 +291,36 @@ def test_choices_of_a_large_table_share_their_jobs(spark, rows, monkeypatch):
 def test_partitions_of_the_largest_tables_follow_the_cores():
     """54 million rows were 206 partitions on 12 cores, each with sums of its own to exchange."""
     assert levels.partitions_for(54_000_000, 12) == 36 and levels.partitions_for(54_000_000, 120) == 206
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+@pytest.mark.parametrize("layout", ["C", "F"])
+def test_rows_go_down_trees_as_by_their_definition(kind, layout, monkeypatch):
+    """Stepwise ways and sums against one row and node at a time, with missing values on both sides and the highest bin."""
+    rng, most = np.random.default_rng(9), np.iinfo(kind).max
+    bins = np.asarray(rng.choice([0, 1, 2, 3, most - 1, most], (90, 4)).astype(kind), order=layout)
+    trees = Trees.empty(5, 3)
+    inner = rng.random((5, 7)) < 0.8
+    trees.feature[:, :7] = np.where(inner, rng.integers(0, 4, (5, 7)), -1)
+    trees.bin[:, :7] = rng.choice([1, 2, 3, min(int(most), 32_000)], (5, 7))
+    trees.missing_left[:3, :7], trees.value[:] = rng.random((3, 7)) < 0.5, rng.integers(0, 100, trees.value.shape)
+
+    def leaf(t, row, depth):
+        n = 0
+        for _ in range(depth):
+            f = trees.feature[t, n]
+            if f < 0:
+                break
+            left = trees.missing_left[t, n] if row[f] == 0 else row[f] <= trees.bin[t, n]
+            n = 2 * n + (1 if left else 2)
+        return n
+
+    monkeypatch.setattr("tabloom.plans.trees.ROWS", 32)
+    for depth in (1, 2, 3):
+        expected = [[sum(trees.value[t, leaf(t, row, depth)] for t in range(upto)) for upto in (2, 5)] for row in bins]
+        assert trees.sums(bins, depth, (2, 5)).tolist() == expected
+    node = np.zeros(len(bins), np.int64)
+    for depth in (1, 2, 3):
+        node = trees.step(bins, np.arange(len(bins)), node)
+        assert node.tolist() == [leaf(0, row, depth) for row in bins]
+    assert trees[1:2].only(bins).tolist() == [trees.value[1, leaf(1, row, 3)] for row in bins]
