@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from tabloom.catalog import models
 from tabloom.plans import experiments as ex
 from tabloom.plans import grids, passenger, views
 from tabloom.plans.fits import Fits, family, signatures
@@ -122,3 +124,24 @@ def test_encoded_rows_of_one_choice_are_held_at_a_time(spark, sides, monkeypatch
     # What is fitted already needs no rows again.
     written.clear()
     assert fits.out_of_choice(lines, range(3)).count() == 2 * train.count() and fits.fitted == 6 and not written
+
+
+@pytest.fixture()
+def fitted_on(monkeypatch):
+    """The frames that pipelines are fitted on, with whether they are held then."""
+    found, fit = [], Pipeline._fit
+
+    def watched(self, dataset):
+        found.append((dataset, dataset.is_cached))
+        return fit(self, dataset)
+
+    monkeypatch.setattr(Pipeline, "_fit", watched)
+    return found
+
+
+def test_trees_need_no_layout(spark, fitted_on):
+    """Forests draw rows by their ids, so their rows are not exchanged before the fit."""
+    models._predict(spark, SF, grids.forest(1, 3, 2, 1, 0.8))
+    ((frame, held),) = fitted_on
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not held and "Exchange" not in plan and "Name" not in frame.columns
