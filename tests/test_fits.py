@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog import models
 from tabloom.plans import experiments as ex
-from tabloom.plans import grids, passenger, views
+from tabloom.plans import grids, house, passenger, views
 from tabloom.plans.fits import Fits, family, signatures
 from tabloom.plans.steps import Steps
 from tabloom.runtime import materialize
@@ -139,6 +139,14 @@ def fitted_on(monkeypatch):
     return found
 
 
+def test_stages_of_a_fit_share_one_exchange(spark, fitted_on):
+    """Each stage exchanged all rows for itself, and columns that no stage reads with them."""
+    prepared = ex.prepare_houses(views.houses(spark, SF))
+    ex.validate_seeds(prepared, "lr", (42, 7)).collect()
+    assert [held for _, held in fitted_on] == [True, True]
+    assert all(not frame.is_cached and house.LABEL in frame.columns for frame, _ in fitted_on)
+
+
 def test_trees_need_no_layout(spark, fitted_on):
     """Forests draw rows by their ids, so their rows are not exchanged before the fit."""
     models._predict(spark, SF, grids.forest(1, 3, 2, 1, 0.8))
