@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.folds import with_folds
 from tabloom.operators.quantile import grouped_median
+from tabloom import runtime
 from tabloom.plans import passenger, views
-from tabloom.runtime import deal, materialize, scratch_path, scratch_root, together
+from tabloom.runtime import deal, in_fixed_order, materialize, scratch_path, scratch_root, together
 from tests.harness import DATA
 
 
@@ -47,6 +48,19 @@ def test_spread_uses_all_cores_and_keeps_rows(spark):
     assert deal(wide) is wide
 
 
+def test_the_fixed_layout_grows_with_the_rows(spark, monkeypatch):
+    """16 partitions whatever the table made one task read more and more."""
+    rows = spark.range(500)
+    assert in_fixed_order(rows, "id").rdd.getNumPartitions() == 16
+    monkeypatch.setattr(runtime, "FIT_ROWS", 10)
+    assert in_fixed_order(rows, "id").rdd.getNumPartitions() == 50
+    spark.conf.set("spark.tabloom.fit.partitions", "3")
+    try:
+        assert in_fixed_order(rows, "id").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("spark.tabloom.fit.partitions")
+
+
 def test_a_fold_filter_reads_its_own_files(spark):
     table = materialize(with_folds(spark.range(500), "id", 5), partition_by=["__fold"])
     one = table.where(F.col("__fold") == 2)
