@@ -46,7 +46,7 @@ PERCENT = 85
 BUCKET_BYTES = 12 << 20
 BLOCK_SETS = 1_000
 # Bytes of text hashed at once.
-CUT = 4 << 20
+CUT = 2 << 20
 FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
