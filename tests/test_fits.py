@@ -153,3 +153,18 @@ def test_trees_need_no_layout(spark, fitted_on):
     ((frame, held),) = fitted_on
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert not held and "Exchange" not in plan and "Name" not in frame.columns
+
+
+def test_the_planted_table_is_scored_on_all_cores(spark, monkeypatch):
+    """A small table came out in one partition, and each model scored it in one task."""
+
+    class Seen(Exception):
+        pass
+
+    def fits(table, *args):
+        raise Seen(table.rdd.getNumPartitions())
+
+    monkeypatch.setattr(models, "Fits", fits)
+    with pytest.raises(Seen) as seen:
+        models.planted_price(spark, SF)
+    assert seen.value.args[0] >= spark.sparkContext.defaultParallelism
