@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tabloom.llm import base
 from tabloom.llm import jaccard_join as jj
 from tabloom.llm.components import components
 from tests.llm.data import awkward, documents, prose
@@ -79,3 +80,10 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1040)]
     got = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {(r["node"], r["component"]) for r in got} == {(i, 0) for i in range(61)} | {(i, 1000) for i in range(1000, 1040)}
+
+
+def test_workers_hold_little_text_at_once(spark):
+    """Four workers beside a grown JVM have 3,000 MB together; 8 MB of Arrow text and 4 MB of shingles were too much."""
+    base.bounded_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 2 << 20
+    assert base.CUT_BYTES <= 2 << 20 and jj.CUT <= 2 << 20
