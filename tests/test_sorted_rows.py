@@ -10,7 +10,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabloom.plans import levels, sorted_rows
+from tabloom.plans.boost import HistogramBooster
 from tabloom.plans.encoded import encode_views
+from tabloom.plans.fits import Fits
 from tabloom.plans.trees import Trees
 
 COUNTS = [4, 40, 9, 5, 33, 300]
@@ -115,3 +117,52 @@ def test_a_long_chain_on_a_larger_table_is_one_task(spark, tmp_path, monkeypatch
     assert jobs == [4] * len(jobs) and len(jobs) > 33 and not any(views.alone(c) for c in chains)
     for one, many in zip(alone, shared):
         assert all(np.array_equal(x, y) for x, y in zip(one.arrays(), many.arrays()))
+
+
+def test_a_level_job_counts_the_lighter_sides_only(spark, monkeypatch):
+    """Every level counted all rows, though of two sides one is what is left of their node."""
+    held = list(made_blocks(np.random.default_rng(12), np.uint16))
+    chain = levels.Chain("squared", 0, 3, 4, 0.3)
+    cuts = [[np.arange(float(c - 2)) for c in COUNTS]]
+    seen, counted = [], levels.splits_of
+
+    def watched(growing, nodes, parts, setting):
+        parts = list(parts)
+        seen.append((growing[0].level, sum(own[1, :, 0].sum() for (_, _, feature, _), own in parts if feature == 0)))
+        return counted(growing, nodes, iter(parts), setting)
+
+    grow = lambda: levels.grow_chains(spark, spark.sparkContext.parallelize(held, 2), [chain], cuts, [0.25], [3.0])[0]
+    monkeypatch.setattr(levels, "splits_of", watched)
+    direct = grow()
+    assert [level for level, _ in seen] == [0, 1, 2, 3] * 3
+    assert all(rows == 841 if level == 0 else 0 < rows <= 841 / 2 for level, rows in seen)
+    monkeypatch.setattr(levels, "DIRECT_BYTES", 0)
+    assert all(np.array_equal(x, y) for x, y in zip(direct.arrays(), grow().arrays()))
+
+
+def test_chains_of_all_depths_share_their_jobs(spark, tmp_path, monkeypatch):
+    """Boosters of each depth were jobs of their own, each of which read all rows with keys that no chain needs."""
+    rng = random.Random(9)
+    rows = [(i, rng.random(), float(rng.randrange(4)), float(rng.random() < 0.4)) for i in range(600)]
+    spark.createDataFrame(rows, "id long, a double, b double, k double").repartition(4).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+
+    def boosted(depth, sample=1.0):
+        model = HistogramBooster(objective="logistic", labelCol="k", idCol="id", rounds=2, maxDepth=depth, rowSample=sample, maxBins=32)
+        return Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), model])
+
+    alone = Fits(table, [], "id", "k")
+    alone.grow([boosted(1), boosted(3), boosted(3, 0.8)], [0])
+    monkeypatch.setattr(levels, "PARTITION_ROWS", 200)
+    monkeypatch.setattr(levels, "BLOCK_ROWS", 64)
+    asked, jobs = levels.asked, []
+    seen = lambda state: jobs.append((state.getNumPartitions() > 1, *sorted(state.first()), state.first()["y"].dtype))
+    monkeypatch.setattr(levels, "asked", lambda state, growing, setting: seen(state) or asked(state, growing, setting))
+    shared = Fits(table, [], "id", "k")
+    shared.grow([boosted(1), boosted(3)], [0])
+    assert jobs == [(True, "bins", "margins", "view", "y", np.dtype(np.uint8))] * 6
+    jobs.clear()
+    shared.grow([boosted(3, 0.8)], [0])
+    assert all("key" in job for job in jobs) and len(jobs) == 6
+    for place, trees in alone.grown.items():
+        assert all(np.array_equal(x, y) for x, y in zip(trees.arrays(), shared.grown[place].arrays()))
