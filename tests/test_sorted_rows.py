@@ -166,3 +166,23 @@ def test_chains_of_all_depths_share_their_jobs(spark, tmp_path, monkeypatch):
     assert all("key" in job for job in jobs) and len(jobs) == 6
     for place, trees in alone.grown.items():
         assert all(np.array_equal(x, y) for x, y in zip(trees.arrays(), shared.grown[place].arrays()))
+
+
+def test_a_round_writes_margins_only(spark, monkeypatch):
+    """Each round held all blocks anew, with the bins, beside those of the round before."""
+    held = list(made_blocks(np.random.default_rng(13), np.uint16))
+    chains = [levels.Chain("squared", 0, 3, 2, 0.3), levels.Chain("squared", 0, 2, 3, 0.1)]
+    cuts = [[np.arange(float(c - 2)) for c in COUNTS]]
+    written, tables, kept = [], [], levels.block_by_block
+
+    def watched(blocks):
+        tables.append(kept(blocks))
+        written.append(tables[-1].first())
+        return tables[-1]
+
+    monkeypatch.setattr(levels, "block_by_block", watched)
+    levels.grow_chains(spark, spark.sparkContext.parallelize(held, 2), chains, cuts, [0.25] * 2, [3.0] * 2, write_every=2)
+    fixed, *margins = written
+    assert set(fixed) == {"view", "y", "bins"} and len(margins) == 3
+    assert all(set(m) == {0, 1} and all(x.dtype == np.float64 and len(x) == len(fixed["y"]) for x in m.values()) for m in margins)
+    assert not any(t.getStorageLevel().useMemory or t.getStorageLevel().useDisk for t in tables)
